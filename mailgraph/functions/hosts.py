@@ -15,8 +15,7 @@ MULTI_LABEL_SUFFIXES = (
 )
 
 # IPv4 ranges that are not globally routable.
-SPECIAL_V4 = "^[0-9]{1,3}(\\.[0-9]{1,3}){3}$"
-_OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+SPECIAL_V4 = (
     "0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24",
     "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4",
 )
@@ -28,6 +27,7 @@ TARGET_KEYS = "url|redirect|redirect_uri|next|continue|return|target|dest|destin
 
 _HOST_LABEL = "[a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?"
 _V4 = "^[0-9]{1,3}(\\.[0-9]{1,3}){3}$"
+_OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
 
 def address(raw: Column) -> Column:

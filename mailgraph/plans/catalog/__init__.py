@@ -3,4 +3,5 @@
 from mailgraph.plans.catalog import (  # noqa: F401
     corpus,
     correlation,
+    similarity,
 )

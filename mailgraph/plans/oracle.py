@@ -80,10 +80,10 @@ def register_view(name: str, sql: str) -> None:
     EXTRA[name] = sql
 
 
-def _needed(sql: str, known: dict[str, str], seen: list[str]) -> list[str]:
+def _needed(sql: str, known: dict[str, str], seen: list[str], inside: str = "") -> list[str]:
     for name in dict.fromkeys(re.findall(r"\bv_[a-z0-9_]+\b", sql)):
-        if name in known and name not in seen:
-            _needed(known[name], known, seen)
+        if name in known and name not in seen and name != inside:
+            _needed(known[name], known, seen, name)
             if name not in seen:
                 seen.append(name)
     return seen

@@ -12,6 +12,8 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Small shuffles still use every core; large ones are sized by the advisory partition size.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     # Session windows merge inside each map task before the shuffle, so a hot key shuffles sessions, not events.
     "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",

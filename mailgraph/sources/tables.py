@@ -28,8 +28,14 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    documents = cached_property(lambda self: self.read("documents"))
-    pages = cached_property(lambda self: self.read("pages"))
+    def read_spread(self, name: str) -> DataFrame:
+        """A text table. When it comes in fewer files than there are cores, its rows are spread over all of them."""
+        df = self.read(name)
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+    documents = cached_property(lambda self: self.read_spread("documents"))
+    pages = cached_property(lambda self: self.read_spread("pages"))
     labels = cached_property(lambda self: self.read("labels"))
     conversations = cached_property(lambda self: self.read("conversations"))
 
