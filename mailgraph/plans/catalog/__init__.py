@@ -3,5 +3,8 @@
 from mailgraph.plans.catalog import (  # noqa: F401
     corpus,
     correlation,
+    enrichment,
+    scoring,
     similarity,
+    threads,
 )
