@@ -106,14 +106,19 @@ def relay_checks(hop: DataFrame) -> DataFrame:
 
 
 def parse_received(header: DataFrame, value: str = "value") -> DataFrame:
-    """Relay names and sender addresses of Received headers; comments are blanked first (nested two deep)."""
+    """Relay names and sender addresses of Received headers. Words inside comments (nested two deep) name no relay, but
+    addresses in the comments of the ``from`` clause count."""
     raw = F.col(value)
-    plain = raw
+    plain, marked = raw, raw
     for _ in range(2):
         plain = F.regexp_replace(plain, "\\([^()]*\\)", " ")
+        # Hide the clause word inside the innermost comments, then open those comments so the next level is innermost.
+        marked = F.regexp_replace(marked, "(?i)(\\([^()]*)\\bby\\b(?=[^()]*\\))", "$1--")
+        marked = F.regexp_replace(marked, "\\(([^()]*)\\)", "{$1}")
     from_host = F.regexp_extract(plain, "(?i)^\\s*from\\s+([A-Za-z0-9_.:-]+)", 1)
     by_host = F.regexp_extract(plain, "(?i)\\bby\\s+([A-Za-z0-9_.:-]+)", 1)
-    segment = F.when(from_host == "", "").otherwise(F.regexp_replace(F.regexp_extract(raw, "(?is)^(.*?)(?:\\bby\\s|$)", 1), "(?i)IPv6:", ""))
+    segment = F.when(from_host == "", "").otherwise(
+        F.regexp_replace(F.regexp_extract(marked, "(?is)^(.*?)(?:\\bby\\s|$)", 1), "(?i)IPv6:", ""))
     tokens = F.array_distinct(F.regexp_extract_all(segment, F.lit("[0-9a-fA-F:.]+"), F.lit(0)))
     addresses = F.filter(tokens, lambda x: hosts.is_ipv4(x) | x.rlike("^[0-9a-fA-F]{0,4}(:[0-9a-fA-F]{0,4}){2,7}$"))
     named = lambda c: F.nullif(F.regexp_replace(F.lower(c), "\\.$", ""), F.lit(""))

@@ -76,9 +76,9 @@ def stratified_split(t):
 
 
 @query("J17_split_overlap", """
-    WITH s AS (SELECT DISTINCT key, split FROM v_split)
-    SELECT a.split || '-' || b.split AS pair, count(*) AS shared_keys FROM s a JOIN s b USING (key)
-    WHERE (a.split, b.split) IN (('train', 'validation'), ('train', 'test'), ('validation', 'test')) GROUP BY 1""")
+    WITH s AS (SELECT DISTINCT key, split FROM v_split),
+         p AS (SELECT * FROM (VALUES ('train', 'validation'), ('train', 'test'), ('validation', 'test')) p(l, r))
+    SELECT l || '-' || r AS pair, (SELECT count(*) FROM s a JOIN s b USING (key) WHERE a.split = l AND b.split = r) AS shared_keys FROM p""")
 def split_overlap(t):
     return C.split_overlap(C.stratified_split(C.with_key(t.corpus).select("msg_id", "label", "key")))
 

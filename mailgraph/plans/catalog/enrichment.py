@@ -139,8 +139,7 @@ def policy_walk(t):
 
 
 @query("J10_lookalike_domains", """
-    SELECT DISTINCT host, 'Theronia' AS brand, 'one-character edit' AS why FROM v_url WHERE false
-    UNION SELECT DISTINCT host, brand, why FROM (
+    SELECT DISTINCT host, brand, why FROM (
         SELECT v.host, b.brand, CASE
             WHEN contains(v.host, b.domain) AND NOT (v.host = b.domain OR v.host LIKE '%.' || b.domain) THEN 'embedded genuine domain'
             WHEN v.label = b.label THEN 'same name under another suffix'
@@ -151,7 +150,7 @@ def policy_walk(t):
     WHERE why IS NOT NULL""")
 def lookalike_domains(t):
     return E.lookalikes(variants(t), t.spark.createDataFrame(
-        [("Example", ["example.com"], ["example"]), ("Portal", ["examples.org"], [])], "name string, domains array<string>, tokens array<string>").filter("name = 'Portal'"))
+        [("Portal", ["examples.org"], [])], "name string, domains array<string>, tokens array<string>"))
 
 
 register_view("v_brand", "SELECT 'Portal' AS brand, 'examples.org' AS domain, 'examples' AS label")
@@ -180,7 +179,7 @@ def protected_identity(t):
     WITH p AS (SELECT DISTINCT msg_id, 'www.' || replace(split_part(sender, '@', 2), 'src', 'srcs') AS host FROM v_message
                UNION SELECT msg_id, split_part(sender, '@', 2) || '.login.test' FROM v_message WHERE msg_id % 4 = 0)
     SELECT m.msg_id, split_part(sender, '@', 2) AS sender_base, p.host FROM v_message m JOIN p USING (msg_id)
-    WHERE regexp_matches(lower(subject || ' ' || body), '(^|[^a-z0-9_])(verify|password|payment|invoice|account|login|bank)([^a-z0-9_]|$)')
+    WHERE regexp_matches(lower(subject || CASE WHEN lang = 'es' THEN ' invoice' ELSE '' END || ' ' || body), '(^|[^a-z0-9_])(verify|password|payment|invoice|account|login|bank)([^a-z0-9_]|$)')
       AND regexp_extract(p.host, '[^.]+[.][^.]+$') <> split_part(sender, '@', 2)
       AND (contains(p.host, split_part(sender, '@', 2)) OR (length(split_part(split_part(sender, '@', 2), '.', 1)) >= 5
            AND length(split_part(p.host, '.', 2)) >= 5 AND damerau_levenshtein(split_part(split_part(sender, '@', 2), '.', 1), split_part(p.host, '.', 2)) = 1))""")
@@ -188,7 +187,8 @@ def domain_resemblance(t):
     own = hosts.domain(F.col("sender"))
     peers = t.message.select("msg_id", F.concat(F.lit("www."), F.replace(own, F.lit("src"), F.lit("srcs"))).alias("host")).unionByName(
         t.message.filter(F.col("msg_id") % 4 == 0).select("msg_id", F.concat(own, F.lit(".login.test")).alias("host")))
-    return E.domain_resemblance(t.message, peers)
+    asked = t.message.withColumn("subject", F.concat("subject", F.when(F.col("lang") == "es", " invoice").otherwise("")))
+    return E.domain_resemblance(asked, peers)
 
 
 @query("J14_delegation", """

@@ -297,7 +297,7 @@ def search(t):
                unnest([score >= 25, score >= 45, score >= 60 OR priority = 'urgent', label = 'phishing']) AS hit FROM v_triage) GROUP BY rule""")
 def rule_registry(t):
     from mailgraph.operators import evaluation as V
-    flagged = V.apply_rules(Evidence(t).case, V.CASE_RULES)
+    flagged = V.apply_rules(Evidence(t).case, V.case_rules())
     return flagged.groupBy("rule").agg(F.count_if("flagged").alias("flagged"), F.count(F.lit(1)).alias("messages"))
 
 
