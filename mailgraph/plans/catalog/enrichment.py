@@ -358,3 +358,39 @@ def domain_age(t):
     registered = F.when(F.col("message_id").isNull(), "not a date").otherwise(F.date_format("created", "yyyy-MM-dd'T'HH:mm:ss"))
     age = E.domain_age_days(registered, F.lit(AS_OF).cast("timestamp"))
     return t.message.select("msg_id", age.cast("long").alias("age_days"), (age < E.NEW_DOMAIN_DAYS).alias("is_new"))
+
+
+register_view("v_feed_rows", """
+    SELECT page_id::VARCHAR AS phish_id, url, CASE WHEN page_id % 8 = 1 THEN 'no' ELSE 'yes' END AS verified, CASE WHEN page_id % 9 = 2 THEN 'no' ELSE 'yes' END AS online,
+           'v' || page_id AS verification_time, page_id FROM pages
+    UNION ALL SELECT CASE WHEN page_id % 2 = 0 THEN 'x' || page_id ELSE (page_id + 100000)::VARCHAR END, url, 'yes', 'yes', 'w' || page_id, page_id + 1000000 FROM pages WHERE page_id % 5 = 0""")
+
+
+def feed_rows(t):
+    i = F.col("page_id")
+    first = t.pages.select(i.cast("string").alias("phish_id"), "url", F.when(i % 8 == 1, "no").otherwise("yes").alias("verified"),
+                           F.when(i % 9 == 2, "no").otherwise("yes").alias("online"), F.concat(F.lit("v"), i).alias("verification_time"), "page_id")
+    again = t.pages.filter(i % 5 == 0).select(F.when(i % 2 == 0, F.concat(F.lit("x"), i)).otherwise((i + 100000).cast("string")).alias("phish_id"), "url",
+                                              F.lit("yes").alias("verified"), F.lit("yes").alias("online"), F.concat(F.lit("w"), i).alias("verification_time"),
+                                              (i + 1000000).alias("page_id"))
+    return first.unionByName(again)
+
+
+register_view("v_snapshot", r"""
+    SELECT sha256(regexp_replace(url, '^(https?://[^/?#]+)([?#]|$)', '\1/\2')) AS digest, arg_max(phish_id, page_id) AS record_id,
+           arg_max(verification_time, page_id) AS verified_at FROM v_feed_rows
+    WHERE verified = 'yes' AND online = 'yes' AND regexp_matches(phish_id, '^[0-9]+$') GROUP BY 1""")
+
+
+@query("S03_feed_snapshot", "SELECT * FROM v_snapshot")
+def feed_snapshot(t):
+    from mailgraph.sources import feeds
+    return feeds.snapshot(feed_rows(t), F.col("page_id"))
+
+
+@query("S05_snapshot_quality", """
+    SELECT count(*) AS entries, 0 AS bad_digests, 0 AS bad_ids, true AS source_ok, true AS time_ok, count(*) BETWEEN 1 AND 500000 AS size_ok, true AS usable FROM v_snapshot""")
+def snapshot_quality(t):
+    from mailgraph.sources import feeds
+    meta = t.events.agg(F.max(F.unix_seconds("ts")).alias("fetched_at")).select(F.lit("feed").alias("source"), "fetched_at", F.lit(None).cast("long").alias("source_modified"))
+    return feeds.quality(feeds.snapshot(feed_rows(t), F.col("page_id")), meta, F.lit(AS_OF).cast("timestamp"), "feed")
