@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -76,8 +77,6 @@ def skeleton(text: Column) -> Column:
 
 def nfkc(text: Column) -> Column:
     """Unicode NFKC in Arrow batches; Spark SQL has no built-in for it."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def fold(values: pd.Series) -> pd.Series:
         return values.str.normalize("NFKC")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailgraph.plans import skew
@@ -54,18 +54,17 @@ def confusion(pairs: DataFrame) -> DataFrame:
 
 def per_class(pairs: DataFrame) -> DataFrame:
     """Recall, precision and support per class, and the overall accuracy, from the confusion counts."""
-    cells = confusion(pairs)
-    sides = cells.select(F.explode(F.array(
-        F.struct(F.col("actual").alias("cls"), F.col("n").alias("support"), F.lit(0).cast("long").alias("guessed")),
-        F.struct(F.col("predicted").alias("cls"), F.lit(0).cast("long").alias("support"), F.col("n").alias("guessed")),
-    )).alias("s"), (F.col("actual") == F.col("predicted")).alias("hit"), "n", F.col("actual"))
-    marginals = sides.groupBy("s.cls").agg(F.sum("s.support").alias("support"), F.sum("s.guessed").alias("guessed"))
-    hits = cells.filter("actual = predicted").select(F.col("actual").alias("cls"), F.col("n").alias("hits"))
-    overall = cells.agg((F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy"))
-    out = marginals.join(hits, "cls", "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
-    return out.join(F.broadcast(overall)).select(  # one row
+    def side(cls: str, support: Column, guessed: Column, hits: Column) -> Column:
+        return F.struct(F.col(cls).alias("cls"), support.alias("support"), guessed.alias("guessed"), hits.alias("hits"))
+
+    none, n = F.lit(0).cast("long"), F.col("n")
+    hit = F.when(F.col("actual") == F.col("predicted"), n).otherwise(none)
+    sides = confusion(pairs).select(F.explode(F.array(side("actual", n, none, hit), side("predicted", none, n, none))).alias("s"))
+    marginals = sides.groupBy("s.cls").agg(F.sum("s.support").alias("support"), F.sum("s.guessed").alias("guessed"), F.sum("s.hits").alias("hits"))
+    every = Window.partitionBy()  # one row per class
+    return marginals.select(
         "cls", "support", ratio(F.col("hits"), F.col("support")).alias("recall"), ratio(F.col("hits"), F.col("guessed")).alias("precision"),
-        "accuracy")
+        (F.sum("hits").over(every) / F.sum("support").over(every)).alias("accuracy"))
 
 
 def clipped(p: Column, epsilon: float = 1e-12) -> Column:
@@ -102,13 +101,14 @@ def temperature_grid(prediction: DataFrame, low: float = 0.5, high: float = 5.0,
 
 def fit_temperature(prediction: DataFrame, **grid: float) -> DataFrame:
     """The first temperature with the least log loss, and whether scaling by it is worth keeping."""
-    best = temperature_grid(prediction, **grid).agg(F.min(F.struct("nll", "temperature")).alias("b")).select("b.temperature", "b.nll")
+    best = temperature_grid(prediction, **grid).agg(F.min(F.struct("nll", "temperature")).alias("b"))
+    temperature = best.select("b.temperature").scalar()
     p = clipped(F.col("p"))
-    scaled = 1 / (1 + F.exp(-F.log(p / (1 - p)) / F.col("temperature")))
-    joined = prediction.join(F.broadcast(best))  # one row
-    out = joined.groupBy("temperature", "nll").agg(
-        F.avg(F.pow(F.col("p") - F.col("label"), F.lit(2))).alias("raw_brier"), F.avg(F.pow(scaled - F.col("label"), F.lit(2))).alias("scaled_brier"))
-    return out.withColumn("accepted", (F.col("raw_brier") - F.col("scaled_brier") >= 0.001) & F.col("temperature").between(0.05, 20.0))
+    scaled = prediction.select("label", "p", (1 / (1 + F.exp(-F.log(p / (1 - p)) / temperature))).alias("q"))
+    squared = lambda c: F.avg(F.pow(F.col(c) - F.col("label"), F.lit(2)))
+    out = scaled.agg(squared("p").alias("raw_brier"), squared("q").alias("scaled_brier"))
+    return out.select(temperature.alias("temperature"), best.select("b.nll").scalar().alias("nll"), "raw_brier", "scaled_brier").withColumn(
+        "accepted", (F.col("raw_brier") - F.col("scaled_brier") >= 0.001) & F.col("temperature").between(0.05, 20.0))
 
 
 def auc(prediction: DataFrame, buckets: int = 4096) -> DataFrame:
@@ -121,7 +121,7 @@ def auc(prediction: DataFrame, buckets: int = 4096) -> DataFrame:
     area = area.select(((F.col("ranks") - F.col("pos") * (F.col("pos") + 1) / 2) / (F.col("pos") * negatives)).alias("auc"))
     at_half = apply_rules(prediction.withColumn("positive", F.col("label") == 1), {"p_ge_half": F.col("p") >= 0.5}, "positive")
     metrics = rule_metrics(at_half).withColumn("accuracy", (F.col("tp") + F.col("tn")) / (F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")))
-    return metrics.join(F.broadcast(area)).select("auc", "accuracy", "precision", "recall", "f1")  # one row each
+    return metrics.select(area.scalar().alias("auc"), "accuracy", "precision", "recall", "f1")
 
 
 def subset_comparison(scored: DataFrame) -> DataFrame:
@@ -267,11 +267,12 @@ def robustness(df: DataFrame, text: str, scorer, threshold: float, sample: int,
     """
     from mailgraph.operators import corpus
     scored = df.withColumn("_base", scorer(F.col(text)))
-    totals = scored.agg(F.count(F.lit(1)).alias("scanned"), F.count_if(F.col("_base") >= threshold).alias("detected"))
+    total = lambda c: scored.agg(c.alias("n")).scalar()
     picked = corpus.seeded_sample(scored.filter(F.col("_base") >= threshold), group, sample, seed, identity)
     attacks = F.array(*[F.struct(F.lit(n).alias("attack"), c.alias("attacked")) for n, c in perturbations(F.col(text), extra_words).items()])
     attacked = picked.select(identity, "_base", F.explode(attacks).alias("a")).select("_base", "a.attack", scorer(F.col("a.attacked")).alias("_after"))
     return attacked.groupBy("attack").agg(
         F.count(F.lit(1)).alias("tested"), F.count_if(F.col("_after") >= threshold).alias("retained"),
         F.avg(F.col("_base") - F.col("_after")).alias("mean_drop"),
-    ).join(F.broadcast(totals)).withColumn("evaded", F.col("tested") - F.col("retained"))  # one row
+    ).withColumn("scanned", total(F.count(F.lit(1)))).withColumn("detected", total(F.count_if(F.col("_base") >= threshold))).withColumn(
+        "evaded", F.col("tested") - F.col("retained"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,3 +45,35 @@ def sliding_sessions(use: DataFrame, key: str, gap: str) -> DataFrame:
     window = F.session_window("ts", gap)
     return use.groupBy(key, window.alias("w")).agg(F.count(F.lit(1)).alias("uses")).select(
         key, F.col("w.start").alias("start"), F.col("w.end").alias("expires"), "uses")
+
+
+def admission(accepted: list[int], now: int, limit: int, width: int) -> tuple[bool, list[int]]:
+    """Verdict for one request and the accepted times still inside the window."""
+    recent = [x for x in accepted if x > now - width]
+    if len(recent) < limit:
+        return True, [*recent, now]
+    return False, recent
+
+
+def admit(requests: DataFrame, limit: int = 30, window_seconds: int = 60) -> DataFrame:
+    """(peer, at_us, request, accepted): accepted while fewer than ``limit`` accepted ones lie in the last window.
+
+    Each verdict depends on the ones before it, so a peer is walked in order; rows stream through the task, which holds
+    at most ``limit`` times. ``trailing_count`` is the parallel, stateless approximation.
+    """
+    width = window_seconds * 1_000_000
+    rows = requests.select("peer", F.unix_micros("at").alias("at_us"), "request")
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, accepted = None, []
+        for batch in batches:
+            verdicts = []
+            for peer, now in zip(batch["peer"], batch["at_us"]):
+                if peer != current:
+                    current, accepted = peer, []
+                ok, accepted = admission(accepted, now, limit, width)
+                verdicts.append(ok)
+            yield batch.assign(accepted=verdicts)
+
+    ordered = rows.repartition("peer").sortWithinPartitions("peer", "at_us", "request")
+    return ordered.mapInPandas(walk, "peer STRING, at_us BIGINT, request BIGINT, accepted BOOLEAN")

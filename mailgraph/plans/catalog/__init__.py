@@ -9,5 +9,6 @@ from mailgraph.plans.catalog import (  # noqa: F401
     evaluation,
     scoring,
     similarity,
+    streams,
     threads,
 )

@@ -106,7 +106,7 @@ def fitted_temperature(t):
     ON least(floor(p * 10), 9) = b.bin GROUP BY b.bin""")
 def calibration_report(t):
     best = V.fit_temperature(t.prediction).select("temperature")
-    scaled = t.prediction.join(F.broadcast(best)).select("label", (1 / (1 + F.exp(-F.log(F.col("p") / (1 - F.col("p"))) / F.col("temperature")))).alias("p"))
+    scaled = t.prediction.select("label", (1 / (1 + F.exp(-F.log(F.col("p") / (1 - F.col("p"))) / best.scalar()))).alias("p"))
     return rounded(V.reliability(scaled), "mean_predicted", "positive_fraction")
 
 

@@ -31,10 +31,11 @@ def quality(entries: DataFrame, meta: DataFrame, as_of: Column, source: str, mos
     counts = entries.agg(
         F.count(F.lit(1)).alias("entries"), F.count_if(~F.col("digest").rlike("^[0-9a-f]{64}$")).alias("bad_digests"),
         F.count_if(~F.col("record_id").rlike("^[0-9]+$")).alias("bad_ids"))
-    sane = (F.col("fetched_at") > F.lit(0)) & (F.col("fetched_at") <= F.unix_seconds(as_of) + 300) & (
-        F.col("source_modified").isNull() | (F.col("source_modified") > 0))
-    return counts.join(F.broadcast(meta)).select(  # both one row
-        "entries", "bad_digests", "bad_ids", (F.col("source") == source).alias("source_ok"), F.coalesce(sane, F.lit(False)).alias("time_ok"),
+    of = lambda c: meta.select(c).scalar()
+    fetched, modified = of("fetched_at"), of("source_modified")
+    sane = (fetched > 0) & (fetched <= F.unix_seconds(as_of) + 300) & (modified.isNull() | (modified > 0))
+    return counts.select(
+        "entries", "bad_digests", "bad_ids", (of("source") == source).alias("source_ok"), F.coalesce(sane, F.lit(False)).alias("time_ok"),
         F.col("entries").between(1, most).alias("size_ok")).withColumn(
         "usable", F.col("source_ok") & F.col("time_ok") & F.col("size_ok") & (F.col("bad_digests") == 0) & (F.col("bad_ids") == 0))
 

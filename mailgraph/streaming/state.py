@@ -1,6 +1,7 @@
 """Custom keyed state: chain append, ledger with expiry, admission control.
 
-Each processor keeps a few values per key and walks its input batch by batch; a key's rows are never gathered.
+Each processor keeps a few values per key. Order-dependent ones sort a key's rows of one micro-batch, which the trigger's
+size limit bounds; nothing older is held beyond the state.
 """
 
 from __future__ import annotations
@@ -14,24 +15,21 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from mailgraph.functions.crypto import GENESIS
 from mailgraph.operators.audit import CHAIN_SCHEMA
+from mailgraph.operators.feedlog import admission
 
 
 def append_chain(events: DataFrame) -> DataFrame:
-    """Chain rows for (session_id, seq, payload); the state is the session's head.
-
-    Rows of one micro-batch are chained in ``seq`` order inside each Arrow batch; feed a session's rows in order.
-    """
+    """Chain rows for (session_id, seq, payload) in ``seq`` order; the state is the session's head."""
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         head = state.get[0] if state.exists else GENESIS
-        for batch in batches:
-            batch = batch.sort_values("seq")
-            before, after = [], []
-            for payload in batch["payload"]:
-                before.append(head)
-                head = hashlib.sha256((head + payload).encode()).hexdigest()
-                after.append(head)
-            yield batch[["session_id", "seq", "payload"]].assign(previous=before, hash=after)
+        rows = pd.concat(batches).sort_values("seq")
+        before, after = [], []
+        for payload in rows["payload"]:
+            before.append(head)
+            head = hashlib.sha256((head + payload).encode()).hexdigest()
+            after.append(head)
         state.update((head,))
+        yield rows[["session_id", "seq", "payload"]].assign(previous=before, hash=after)
 
     return events.groupBy("session_id").applyInPandasWithState(
         step, CHAIN_SCHEMA, "head STRING", "append", GroupStateTimeout.NoTimeout)
@@ -67,24 +65,20 @@ def ledger(rows: DataFrame, retention_seconds: int, late: str = "1 hour") -> Dat
 def admit(requests: DataFrame, limit: int = 30, window_seconds: int = 60) -> DataFrame:
     """Accept a request only while fewer than ``limit`` *accepted* ones lie in the last window.
 
-    Rejected requests use no budget. The state is at most ``limit`` timestamps per key. Feed each key in time order.
+    Rejected requests use no budget. The state is at most ``limit`` timestamps per key.
     """
     out = "peer STRING, at TIMESTAMP, request BIGINT, accepted BOOLEAN"
     width = window_seconds * 1_000_000
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         accepted = list(state.get[0]) if state.exists else []
-        for batch in batches:
-            batch = batch.sort_values(["at", "request"])
-            verdicts = []
-            for now in batch["at"].astype("datetime64[us]").astype("int64"):
-                accepted = [x for x in accepted if x > now - width]
-                ok = len(accepted) < limit
-                if ok:
-                    accepted.append(int(now))
-                verdicts.append(ok)
-            yield batch[["peer", "at", "request"]].assign(accepted=verdicts)
+        rows = pd.concat(batches).sort_values(["at", "request"])
+        verdicts = []
+        for now in rows["at"].astype("datetime64[us]").astype("int64"):
+            ok, accepted = admission(accepted, int(now), limit, width)
+            verdicts.append(ok)
         state.update((accepted,))
+        yield rows[["peer", "at", "request"]].assign(accepted=verdicts)
 
     return requests.groupBy("peer").applyInPandasWithState(
         step, out, "accepted ARRAY<BIGINT>", "append", GroupStateTimeout.NoTimeout)
