@@ -340,7 +340,6 @@ def sectioned_csv(t):
 def nested_json(t):
     e = Evidence(t)
     docs = sinks.nested(t.message, e.score, e.finding, e.url, indicators(t))
-    size = lambda c: F.coalesce(F.size(c), F.lit(0)).alias(c)
     return docs.select("msg_id", "score", *[F.when(F.col(c).isNull(), 0).otherwise(F.size(c)).alias(c) for c in ("findings", "urls", "indicators")])
 
 

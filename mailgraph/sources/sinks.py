@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailgraph.operators import indicators as I
 from mailgraph.operators.decisions import MISMATCH_TITLES, has
 
 MASK = "[REDACTED]"
@@ -119,5 +118,3 @@ def write_lines(lines: DataFrame, path: str) -> None:
 def write_sections(rows: DataFrame, path: str) -> None:
     rows.select("section", "type", "value", "detail").write.mode("append").option("header", True).csv(path)
 
-
-KINDS = I.KINDS
