@@ -13,6 +13,7 @@ give empty results.
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,15 +26,19 @@ SYMBOL = r"[#*$%&|<>]"
 ROUNDS = 60
 SMOOTHING = 1.0
 PRIOR = 0.85
-
-#: rule: the measure, the bound on the good side, the bound on the bad side (between them the rule abstains)
-RULES: dict[str, tuple[str, float, float]] = {
-    "symbols": ("n_symbols / n_words", 0.02, 0.15),
-    "dup_lines": ("n_dup_lines / n_lines", 0.05, 0.30),
+#: what one bad vote leaves of the prior when the estimation starts
+START = 0.3
+#: words of letters with at most one closing mark
+PLAIN = r"(?<![^\x20\x09-\x0D])\p{L}++[.,;:?]?(?![^\x20\x09-\x0D])"
+
+#: rule: the measure, the bound on the good side (None: the rule never votes good), the bound on the bad side; else it abstains
+RULES: dict[str, tuple[str, float | None, float]] = {
+    "symbols": ("n_symbols / n_words", None, 0.15),
+    "odd_words": ("1 - n_plain / n_words", 0.10, 0.40),
+    "dup_lines": ("n_dup_lines / n_lines", None, 0.50),
     "repeats": ("n_repeat_words / n_words", 0.10, 0.35),
-    "capitals": ("n_capitals / word_chars", 0.15, 0.45),
-    "exclaims": ("n_exclaims / n_words", 0.05, 0.25),
-    "digits": ("n_digits / word_chars", 0.05, 0.20),
+    "capitals": ("n_capitals / word_chars", None, 0.45),
+    "exclaims": ("n_exclaims / n_words", None, 0.25),
     "long_words": ("abs(word_chars / n_words - 5.5)", 2.5, 5.0),
     "variety": ("1 - n_distinct / n_words", 0.65, 0.85),
 }
@@ -63,7 +68,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.regexp_count(text, F.lit(SYMBOL)).cast("long").alias("n_symbols"),
         F.regexp_count(text, F.lit(r"\p{Lu}")).cast("long").alias("n_capitals"),
         F.regexp_count(text, F.lit("!")).cast("long").alias("n_exclaims"),
-        F.regexp_count(text, F.lit("[0-9]")).cast("long").alias("n_digits"),
+        F.regexp_count(text, F.lit(PLAIN)).cast("long").alias("n_plain"),
         F.filter(F.split(text, "\n", -1), lambda line: line.rlike(WORD)).alias("_lines"),
         F.when(n >= 4, _windows(F.col("_words"))).alias("_hashes"))
     ordered = hashed.select("*", F.array_sort("_hashes").alias("_sorted"))
@@ -82,7 +87,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.zip_with(places, F.slice(places, F.lit(2), F.greatest(F.size(places), F.lit(0))), lambda a, b: F.least(F.coalesce(b - a, F.lit(3)), F.lit(3))),
         F.lit(0).cast("long"), lambda total, step: total + step)
     return covered.select(
-        "doc_id", "n_words", "word_chars", "n_distinct", "n_symbols", "n_capitals", "n_exclaims", "n_digits",
+        "doc_id", "n_words", "word_chars", "n_distinct", "n_symbols", "n_capitals", "n_exclaims", "n_plain",
         F.size("_lines").cast("long").alias("n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.col("_placed").isNotNull(), gaps).otherwise(F.lit(0).cast("long")).alias("n_repeat_words"))
@@ -92,22 +97,19 @@ def votes(measured: DataFrame) -> DataFrame:
     """Adds one column per rule: 1 good, -1 bad, 0 abstains (also where the measure has no value)."""
     columns = []
     for name, (measure, good, bad) in RULES.items():
-        value = F.expr("try_divide(1.0D, 1.0D) * (" + measure.replace(" / n_words", " / nullif(n_words, 0)").replace(
-            " / n_lines", " / nullif(n_lines, 0)").replace(" / word_chars", " / nullif(word_chars, 0)") + ")")
-        columns.append(F.when(value <= good, 1).when(value >= bad, -1).otherwise(0).alias(f"vote_{name}"))
+        value = F.expr(re.sub(r"/ (\w+)", r"/ nullif(\1, 0)", measure))
+        vote = F.when(value >= bad, -1)
+        columns.append((vote if good is None else vote.when(value <= good, 1)).otherwise(0).alias(f"vote_{name}"))
     return measured.select("*", *columns)
 
 
 def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> tuple[float, list[dict[int, float]]]:
     """Expectation-maximisation over vote patterns: (log odds of good, per rule the log likelihood ratio of each vote).
 
-    Starts from the share of good among the votes cast, so "good" keeps its meaning; counts are smoothed by one.
+    Starts from the prior, cut by every bad vote, so "good" keeps its meaning; counts are smoothed by one.
     """
     rules = len(RULES)
-    posterior = []
-    for pattern, _ in patterns:
-        good, bad = sum(v > 0 for v in pattern), sum(v < 0 for v in pattern)
-        posterior.append((good + PRIOR) / (good + 3 * bad + 1.0))
+    posterior = [PRIOR * START ** sum(v < 0 for v in pattern) for pattern, _ in patterns]
     ratio = [dict.fromkeys((-1, 0, 1), 0.0) for _ in range(rules)]
     odds = math.log(PRIOR / (1 - PRIOR))
     for _ in range(rounds):
