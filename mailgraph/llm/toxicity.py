@@ -2,7 +2,7 @@
 
 Two dictionaries are made from a bounded sample of labelled rows. The toxic one is trained on the beginnings of words that mark toxic
 texts (found in many of them and far oftener than in ordinary ones), the ordinary one on the words of ordinary texts; each is followed by its most
-telling pieces. A window is one run of letters, lower-cased, with the blank before it. Each of its bytes is widened to four fixed random bytes,
+telling pieces, and ordinary windows that still look toxic are added to the ordinary one in a few rounds. A window is one run of letters, lower-cased, with the blank before it. Each of its bytes is widened to four fixed random bytes,
 since a zstandard sequence costs about as much as five literals and would hide the matches of short words. The advantage of a window
 is its length under the ordinary dictionary minus its length under the toxic one; a text's distance is the sum of its two largest
 positive advantages over distinct windows, and the cut between the classes is calibrated on the sample.
@@ -32,9 +32,15 @@ from mailgraph.llm.registry import documents, query
 SAMPLE = 2000
 TOXIC_BYTES = 2048
 ORDINARY_BYTES = 16384
+MINING_ROUNDS = 4
+MINED_BYTES = 8192
+#: advantage from which an ordinary window is hard
+HARD = 4
 LETTERS = re.compile(r"[^\W\d_]+")
 REMEMBERED = 1_000_000
 WIDTH = 4
+#: a clean text called toxic counts as so many missed toxic ones
+CLEAN_WEIGHT = 4
 STEEPNESS = 0.5
 _WIDE = np.random.default_rng(7).integers(0, 256, (256, WIDTH), dtype=np.uint8)
 
@@ -137,11 +143,16 @@ def fit(sample: list[tuple[int, frozenset[str]]]) -> Model | None:
     model = Model(
         _dictionary(TOXIC_BYTES, [toxic[i] for i in shuffle(len(toxic))], [p.encode() for p in marks]),
         _dictionary(ORDINARY_BYTES, ordinary, [p.encode() for p in common[-8000:]]), 0.0)
+    ordinary_words = Counter(w for y, found in sample if not y for w in found)
+    for _ in range(MINING_ROUNDS):  # ordinary windows that look toxic join the ordinary dictionary
+        scorer = Scorer(model)
+        hard = sorted((n * scorer.advantage(w), w) for w, n in ordinary_words.items() if scorer.advantage(w) >= HARD)
+        model = Model(model.toxic, model.ordinary + "".join(" " + w for _, w in hard).encode()[-MINED_BYTES:], 0.0)
     scorer = Scorer(model)
     distances = [(scorer.distance(set(found)), y) for y, found in sample]
     values = sorted({d for d, _ in distances})
     cuts = [values[0] - 1.0, *[(a + b) / 2 for a, b in zip(values, values[1:], strict=False)], values[-1] + 1.0]
-    wrong = [sum((d >= cut) != bool(y) for d, y in distances) for cut in cuts]
+    wrong = [sum((d >= cut) != bool(y) if y else CLEAN_WEIGHT * (d >= cut) for d, y in distances) for cut in cuts]
     best = [cut for cut, n in zip(cuts, wrong, strict=True) if n == min(wrong)]
     return Model(model.toxic, model.ordinary, best[len(best) // 2])
 
