@@ -65,6 +65,8 @@ class Encoder:
     def _piece(self, piece: str) -> list[int]:
         found = self.pieces.get(piece)
         if found is None:
+            if len(self.pieces) >= REMEMBERED // 4:
+                self.pieces.clear()
             found = self.pieces[piece] = [t.id for t in self.model.tokenize(piece)]
         return found
 
@@ -97,6 +99,11 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text's ids begin and the total at the end)."""
+        ids, ends, first = self.encode_words(texts)
+        return ids, ends[first]
+
+    def encode_words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all texts, where each word's ids begin and the total, where each text's words begin and their number)."""
         found = words.split(texts)
         distinct, where, back = np.unique(found.hash, return_index=True, return_inverse=True)
         if len(distinct):
@@ -114,7 +121,7 @@ class Encoder:
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.ids[np.repeat(begins - (ends - lengths), lengths) + np.arange(total)]
-        return ids, np.concatenate([[0], ends])[found.first()]
+        return ids, np.concatenate([[0], ends]).astype(np.int64), found.first()
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -26,7 +26,7 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 
 def _load() -> None:
     from mailgraph.llm import (  # noqa: F401  (register on import)
-        exact_dedup, mixing, near_dedup, packing, pii, quality, substring_dedup, toxicity,
+        exact_dedup, lm, mixing, near_dedup, packing, pii, quality, substring_dedup, toxicity,
     )
 
 
