@@ -1,6 +1,6 @@
 """Near duplicates by MinHash bands, odd sketches and exact verification.
 
-A text's set is its distinct four-word shingles (64-bit hashes). Texts with equal sets form a class and only the smallest id goes on, so copies cost
+A text's set is its distinct shingles of ``shingle`` words (64-bit hashes), lower-cased A to Z. Texts with equal sets form a class and only the smallest id goes on, so copies cost
 nothing. Each class has ``BANDS * ROWS`` MinHash values: rows of a band are hashed to one key, and classes that share a key are candidates;
 two texts at the threshold miss every band with probability below 1e-6. The same values, folded as (place, value) into a parity bitmap, make
 the odd sketch: the number of bits two sketches differ in estimates how many of their values differ, and pairs that differ by far more
@@ -11,7 +11,7 @@ that still hold several components are looked at, and in them only members outsi
 inside one component can add no link between components. Large buckets are compared sketch against sketch, in blocks of bounded size, and only
 pairs that pass come out. Every pair of a bucket is thus linked, in one component already, or tested: no cap on partners is set.
 
-Null texts and texts without words have an empty set and are linked with nothing. Fewer than four words make one shingle of all of them. Rows
+Null texts and texts without words have an empty set and are linked with nothing. Fewer words than a shingle make one of all of them. Rows
 that repeat an id share its class. Empty tables give empty results. Other columns are never looked at.
 """
 
@@ -112,12 +112,12 @@ def most_different_bits(percent: int = PERCENT, sigmas: float = SIGMAS) -> int:
 PREPARED = "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch array<long>"
 
 
-def prepare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def prepare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, a 128-bit key of the set, band keys and odd sketch (null for empty sets)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in words.parts(batch, "text"):
-                hashes, begins = shingles(part.column("text"))
+                hashes, begins = shingles(part.column("text"), shingle)
                 sizes = np.diff(begins)
                 filled = np.flatnonzero(sizes > 0)
                 values = signatures(hashes, begins)
@@ -141,14 +141,14 @@ def _close(left: str, right: str, limit: int) -> Column:
     return total <= limit
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _confirm(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int) -> DataFrame:
     """The pairs whose full sets reach the threshold. Texts travel once per pair; the first one's is parsed once per run of pairs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in words.parts(batch, "text_b"):
-                left, first = shingles(part.column("text_a").dictionary_encode().dictionary)
+                left, first = shingles(part.column("text_a").dictionary_encode().dictionary, shingle)
                 codes = part.column("text_a").dictionary_encode().indices.to_numpy()
-                right, second = shingles(part.column("text_b"))
+                right, second = shingles(part.column("text_b"), shingle)
                 keep = np.zeros(part.num_rows, dtype=bool)
                 for row in range(part.num_rows):
                     a = left[first[codes[row]]:first[codes[row] + 1]]
@@ -164,7 +164,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return pairs.join(b, "dst").join(a, "src").select("src", "dst", "text_a", "text_b").mapInArrow(run, "src long, dst long")
 
 
-def links(prepared: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+def links(prepared: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """(src, dst): links between classes (by their smallest ids) that join all near duplicates into their components."""
     limit = most_different_bits(percent)
     classes = prepared.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"))
@@ -184,7 +184,7 @@ def links(prepared: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col
 
     stars = buckets.filter("doc_id <> pivot").select(F.col("pivot").alias("src"), F.col("doc_id").alias("dst")).distinct()
     tried = lineage.cut(near(stars))
-    found = lineage.cut(_confirm(tried, texts, percent))
+    found = lineage.cut(_confirm(tried, texts, percent, shingle))
     parts = connected_components(found).select(F.col("node").alias("doc_id"), "component")
     placed = buckets.join(parts, "doc_id", "left").select("cell", "n", "doc_id", F.coalesce("component", "doc_id").alias("part"))
     shares = placed.groupBy("cell", "part").agg(F.count(F.lit(1)).alias("m"))
@@ -198,7 +198,7 @@ def links(prepared: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col
         "p_x <> p_y AND (p_y = m_y OR x < y)").select(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst")).distinct()
     many = _block_pairs(rest.filter(~small), open_cells.filter(~small), sketch, limit)
     again = near(few).unionByName(many).distinct().join(tried, ["src", "dst"], "left_anti")
-    return found.unionByName(_confirm(lineage.cut(again), texts, percent))
+    return found.unionByName(_confirm(lineage.cut(again), texts, percent, shingle))
 
 
 def _block_pairs(askers: DataFrame, others: DataFrame, sketch: DataFrame, limit: int) -> DataFrame:
@@ -224,10 +224,10 @@ def _block_pairs(askers: DataFrame, others: DataFrame, sketch: DataFrame, limit:
     return left.groupBy("cell", "bx", "by").cogroup(right.groupBy("cell", "bx", "by")).applyInPandas(run, "src long, dst long")
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (smallest id reachable) and kept."""
-    prepared = lineage.cut(prepare(docs, id_col, text_col))
-    joined = connected_components(links(prepared, docs, id_col, text_col, percent)).select(F.col("node").alias("_class"), "component")
+    prepared = lineage.cut(prepare(docs, id_col, text_col, shingle))
+    joined = connected_components(links(prepared, docs, id_col, text_col, percent, shingle)).select(F.col("node").alias("_class"), "component")
     classes = prepared.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("_class"))
     member = prepared.select("doc_id", "n_shingles", "set_key")
     # a class's rows may be many: the map side has at most one row per class, and AQE splits a hot one
@@ -236,9 +236,9 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "doc_id", "n_shingles", F.coalesce("_part", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """The rows of ``docs``, all columns, that are the smallest id of their component; rows with a null id stay."""
-    gone = components(docs, id_col, text_col, percent).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = components(docs, id_col, text_col, percent, shingle).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
 
 
