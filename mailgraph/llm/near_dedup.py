@@ -6,7 +6,7 @@ two texts at the threshold miss every band with probability below 1e-6. The same
 the odd sketch: the number of bits two sketches differ in estimates how many of their values differ, and pairs that differ by far more
 than the threshold allows (``SIGMAS`` deviations) are dropped before any text moves. The rest are confirmed on the full sets.
 
-No bucket is expanded into all its pairs. First each class meets the smallest of every bucket it is in; confirmed links give components. Then only buckets
+No bucket is expanded into all its pairs. First each class meets one or two pivots of every bucket it is in; confirmed links give components. Then only buckets
 that still hold several components are looked at, and in them only members outside the bucket's largest component meet the others: pairs
 inside one component can add no link between components. Large buckets are compared sketch against sketch, in blocks of bounded size, and only
 pairs that pass come out. Every pair of a bucket is thus linked, in one component already, or tested: no cap on partners is set.
@@ -35,7 +35,7 @@ PERCENT = 80
 BANDS = 36
 ROWS = 5
 SKETCH_BITS = 512
-SIGMAS = 6.0
+SIGMAS = 5.0
 #: buckets up to this size pair up in a join; larger ones are compared block by block
 SMALL_BUCKET = 32
 BLOCK = 2048
@@ -171,7 +171,11 @@ def links(prepared: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col
     members = prepared.select("doc_id", "bands", "sketch").join(classes.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     members = lineage.cut(members)
     cells = members.select("doc_id", F.explode("bands").alias("cell"))
-    shared = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("pivot")).filter("n > 1")
+    # in large buckets pivots differ from bucket to bucket, so a member meets many of its group; in small ones the smallest id repeats fewer pairs
+    lot = F.xxhash64("cell", "doc_id")
+    shared = cells.groupBy("cell").agg(
+        F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"), F.min_by("doc_id", lot).alias("one"), F.max_by("doc_id", lot).alias("two"),
+    ).filter("n > 1").select("cell", "n", F.when(F.col("n") <= SMALL_BUCKET, F.array("least")).otherwise(F.array("one", "two")).alias("pivots"))
     buckets = lineage.cut(cells.join(shared, "cell"))
     touched = buckets.select("doc_id").distinct()
     texts = lineage.cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(
@@ -182,7 +186,8 @@ def links(prepared: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col
         a, b = (sketch.select(F.col("doc_id").alias(side), F.col("sketch").alias(f"s_{side}")) for side in ("src", "dst"))
         return pairs.join(a, "src").join(b, "dst").filter(_close("s_src", "s_dst", limit)).select("src", "dst")
 
-    stars = buckets.filter("doc_id <> pivot").select(F.col("pivot").alias("src"), F.col("doc_id").alias("dst")).distinct()
+    stars = buckets.select("doc_id", F.explode("pivots").alias("pivot")).filter("doc_id <> pivot").select(
+        F.least("pivot", "doc_id").alias("src"), F.greatest("pivot", "doc_id").alias("dst")).distinct()
     tried = lineage.cut(near(stars))
     found = lineage.cut(_confirm(tried, texts, percent, shingle))
     parts = connected_components(found).select(F.col("node").alias("doc_id"), "component")
@@ -196,27 +201,61 @@ def links(prepared: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col
     # of two members outside the main component, the smaller id asks
     few = side(rest.filter(small), "x").join(side(open_cells.filter(small), "y"), "cell").filter(
         "p_x <> p_y AND (p_y = m_y OR x < y)").select(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst")).distinct()
-    many = _block_pairs(rest.filter(~small), open_cells.filter(~small), sketch, limit)
+    in_large = open_cells.filter(~small).select("doc_id").distinct()
+    known = lineage.cut(sketch.join(_sets(texts.join(in_large, "doc_id", "left_semi"), shingle), "doc_id"))
+    many = _block_pairs(rest.filter(~small), open_cells.filter(~small), known, limit, percent)
     again = near(few).unionByName(many).distinct().join(tried, ["src", "dst"], "left_anti")
     return found.unionByName(_confirm(lineage.cut(again), texts, percent, shingle))
 
 
-def _block_pairs(askers: DataFrame, others: DataFrame, sketch: DataFrame, limit: int) -> DataFrame:
-    """Pairs of different components in large buckets whose sketches are close. Both sides are cut into blocks of about ``BLOCK``
-    members; a task compares one block with another and gives out only the pairs that pass."""
-    names = ("cell", "bx", "by", "doc_id", "part", "sketch")
+def _sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, size, marks): each text's set size and the set as sorted 32-bit halves of its hashes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in words.parts(batch, "text"):
+                hashes, begins = shingles(part.column("text"), shingle)
+                halves = (hashes >> np.uint64(32)).astype("<u4")
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array(np.diff(begins), pa.int64()), pa.array([halves[a:b].tobytes() for a, b in zip(begins[:-1], begins[1:], strict=True)], pa.binary())],
+                    names=["doc_id", "size", "marks"])
+
+    return texts.mapInArrow(run, "doc_id long, size long, marks binary")
+
+
+def _common(xs: list[np.ndarray], ys: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """For each x, how many of its marks each y holds; one posting list of the ys serves all xs."""
+    marks = np.concatenate(ys) if ys else np.zeros(0, np.uint32)
+    owner = np.repeat(np.arange(len(ys)), [len(y) for y in ys])
+    order = np.argsort(marks, kind="stable")
+    marks, owner = marks[order], owner[order]
+    for x in xs:
+        low, high = np.searchsorted(marks, x, "left"), np.searchsorted(marks, x, "right")
+        n = high - low
+        ends = np.cumsum(n)
+        places = np.repeat(low - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
+        yield np.bincount(owner[places], minlength=len(ys))
+
+
+def _block_pairs(askers: DataFrame, others: DataFrame, members: DataFrame, limit: int, percent: int) -> DataFrame:
+    """Pairs of different components in large buckets that pass sketch and set. Both sides are cut into blocks of about ``BLOCK`` members; a task
+    compares one block with another. Sets are compared by 32-bit marks with one mark of slack for collisions: only a superset of the links comes out."""
+    names = ("cell", "bx", "by", "doc_id", "part", "sketch", "size", "marks")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    salted = lambda df: df.withColumn("_b", F.pmod(F.xxhash64("doc_id"), blocks).cast("int")).join(sketch, "doc_id")
-    left = salted(askers).select("cell", F.col("_b").alias("bx"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("by"), "doc_id", "part", "sketch").toDF(*names)
-    right = salted(others).select("cell", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("bx"), F.col("_b").alias("by"), "doc_id", "part", "sketch").toDF(*names)
+    salted = lambda df: df.withColumn("_b", F.pmod(F.xxhash64("doc_id"), blocks).cast("int")).join(members, "doc_id")
+    each = F.explode(F.sequence(F.lit(0), blocks - 1))
+    left = salted(askers).select("cell", F.col("_b").alias("bx"), each.alias("by"), *names[3:]).toDF(*names)
+    right = salted(others).select("cell", each.alias("bx"), F.col("_b").alias("by"), *names[3:]).toDF(*names)
 
     def run(_, xs: pd.DataFrame, ys: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(xs) and len(ys):
             y_bits = np.stack(ys["sketch"].to_numpy()).view(np.uint64)
-            y_ids, y_parts = ys["doc_id"].to_numpy(), ys["part"].to_numpy()
-            for x, part, bits in zip(xs["doc_id"].to_numpy(), xs["part"].to_numpy(), np.stack(xs["sketch"].to_numpy()).view(np.uint64), strict=True):
-                hit = y_ids[(y_parts != part) & (np.bitwise_count(y_bits ^ bits).sum(axis=1) <= limit)]
+            y_ids, y_parts, y_sizes = ys["doc_id"].to_numpy(), ys["part"].to_numpy(), ys["size"].to_numpy()
+            sets = [[np.frombuffer(m, dtype="<u4") for m in side["marks"]] for side in (xs, ys)]
+            x_bits = np.stack(xs["sketch"].to_numpy()).view(np.uint64)
+            for x, part, size, bits, both in zip(xs["doc_id"].to_numpy(), xs["part"].to_numpy(), xs["size"].to_numpy(), x_bits, _common(*sets), strict=True):
+                close = (y_parts != part) & (np.bitwise_count(y_bits ^ bits).sum(axis=1) <= limit)
+                hit = y_ids[close & (100 * (both + 1) >= percent * (size + y_sizes - both - 1))]
                 out.append(np.stack([np.minimum(hit, x), np.maximum(hit, x)], axis=1))
         pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
         return pd.DataFrame({"src": pairs[:, 0], "dst": pairs[:, 1]})

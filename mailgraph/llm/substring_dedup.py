@@ -34,10 +34,10 @@ from mailgraph.plans import lineage
 
 WINDOW = 50
 PREFIX = 8
-#: suffixes of one group that are built into a tree; larger groups are split by longer prefixes
-GROUP = 4096
 #: suffixes of one partition, about
 PARTITION = 20_000
+#: suffixes of one group that are built into a tree: as many as fill a partition; larger groups are split by longer prefixes
+GROUP = PARTITION
 #: a range that stands for the whole text
 COPY = (1 << 31) - 1
 
