@@ -35,7 +35,7 @@ VOCABULARY = "word_bpe_49k.json"
 GROUP = 20_000
 STEP = 64
 #: distinct words a worker remembers
-REMEMBERED = 1_500_000
+REMEMBERED = 600_000
 #: fixed values: how the vocabulary's pre-tokenizer cuts plain ASCII words, once lower-cased
 ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 PLAIN = re.compile(r"[!-;=-~]+")
