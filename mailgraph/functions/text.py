@@ -84,13 +84,13 @@ def nfkc(text: Column) -> Column:
     return fold(text)
 
 
-def homoglyph_words(text: Column, limit: int = 3) -> Column:
-    """Words that mix Latin letters with look-alike characters (the first ``limit``, as shown to an analyst)."""
+def homoglyph_words(text: Column, limit: int | None = None) -> Column:
+    """Words that mix Latin letters with look-alike characters (the first ``limit`` if given)."""
     mixed = F.filter(
         F.split(text, WS),
         lambda w: w.rlike("[A-Za-z]") & (skeleton(w) != w) & w.rlike("[^\\x00-\\x7F]"),
     )
-    return F.slice(mixed, 1, limit)
+    return mixed if limit is None else F.slice(mixed, 1, limit)
 
 
 def reference_tokens(header: Column) -> Column:

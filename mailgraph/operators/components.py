@@ -56,22 +56,16 @@ def campaign_members(links: DataFrame, message: DataFrame) -> DataFrame:
         message.select("msg_id", "created", "is_sample"), "msg_id")
 
 
-def campaign_summary(members: DataFrame, exact_up_to: int = 10_000, chunk: int = 4096) -> DataFrame:
+def campaign_summary(members: DataFrame) -> DataFrame:
     """Size, time range and id of each campaign of two or more messages.
 
-    The id is a digest over the sorted member ids. Beyond ``exact_up_to`` members the list is digested in id-range chunks
-    and the chunk digests are digested again, so a campaign holding a third of all messages is never gathered in one row.
+    The id is one definition for every size: a digest of the member count, the smallest and largest member and the sum of 48-bit digests of the
+    members. It does not depend on order, and is combined on the map side, so no member list is gathered.
     """
-    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("count")).filter(F.col("count") >= 2)
-    large = F.col("count") > exact_up_to
-    parts = members.join(sizes, "root").groupBy(
-        "root", "count", F.when(large, F.floor(F.col("msg_id") / chunk)).otherwise(-1).alias("part"),
-    ).agg(
-        F.array_join(F.array_sort(F.collect_list(F.col("msg_id").cast("string"))), "|").alias("ids"),
-        F.min("created").alias("t0"), F.max("created").alias("t1"), F.bool_and("is_sample").alias("sample"))
-    content = F.when(large, F.sha2("ids", 256)).otherwise(F.col("ids"))
-    return parts.groupBy("root", "count").agg(
-        F.substring(F.sha2(F.array_join(F.transform(
-            F.array_sort(F.collect_list(F.struct("part", content.alias("content")))), lambda c: c["content"]), "|"), 256), 1, 12,
-        ).alias("campaign_id"),
-        F.min("t0").alias("first_seen"), F.max("t1").alias("last_seen"), F.bool_and("sample").alias("is_sample"))
+    mark = F.conv(F.substring(F.sha2(F.col("msg_id").cast("string"), 256), 1, 12), 16, 10).cast("decimal(20,0)")
+    return members.groupBy("root").agg(
+        F.count(F.lit(1)).alias("count"), F.min("msg_id").alias("lo"), F.max("msg_id").alias("hi"), F.sum(mark).alias("marks"),
+        F.min("created").alias("first_seen"), F.max("created").alias("last_seen"), F.bool_and("is_sample").alias("is_sample"),
+    ).filter(F.col("count") >= 2).select(
+        "root", "count", F.substring(F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in ("count", "lo", "hi", "marks")]), 256), 1, 12).alias("campaign_id"),
+        "first_seen", "last_seen", "is_sample")

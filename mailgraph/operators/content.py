@@ -103,8 +103,7 @@ class Signature:
     some: tuple[str, ...] = ()
 
 
-# Static attachment signatures over the name and the first 256 KiB.
-SCAN_BYTES = 256 * 1024
+# Static attachment signatures over the name and the content.
 SIGNATURES = (
     Signature("ATT-HTML-SMUGGLING", "HTML smuggling pattern", name=r"(?i)\.(html?|xhtml|svg)$",
               every=(r"atob\(|new\s+Blob\(|Uint8Array", r"\.download\s*=|msSaveOrOpenBlob|createObjectURL|saveAs\(")),
@@ -129,8 +128,7 @@ SIGNATURES = (
 def attachment_findings(attachment: DataFrame, *keep: str, name: str = "name", content: str = "content",
                         signatures: Sequence[Signature] = SIGNATURES) -> DataFrame:
     """Signature hits of a binary column; bytes are read as Latin-1 so each byte is one character."""
-    head = F.substring(F.col(content), 1, SCAN_BYTES)
-    body = F.decode(head, "ISO-8859-1")
+    body = F.decode(F.col(content), "ISO-8859-1")
 
     def matches(s: Signature) -> Column:
         test = F.lit(True)

@@ -137,7 +137,7 @@ def classify(case: DataFrame) -> DataFrame:
         .when(benign, "legitimate").otherwise("undetermined"))
     evidence = (
         F.when(F.size("_phishing") > 0, F.col("_phishing")).when(F.size("_fraud") > 0, F.col("_fraud"))
-        .when(F.size("_impersonated") > 0, F.col("_impersonated")).otherwise(F.slice("scored_titles", 1, 6)))
+        .when(F.size("_impersonated") > 0, F.col("_impersonated")).otherwise(F.col("scored_titles")))
     return (
         out.withColumn("primary", primary).withColumn("secondary", F.when(F.size(active) > 0, F.slice(active, 2, 3)).otherwise(active))
         .withColumn("evidence", evidence)

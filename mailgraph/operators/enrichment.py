@@ -68,10 +68,10 @@ def first_public(hop: DataFrame) -> DataFrame:
     return public.groupBy("msg_id").agg(F.min(F.struct("hop", "ip")).alias("o")).select("msg_id", "o.hop", "o.ip")
 
 
-def enrich_ips(hop: DataFrame, dimension: DataFrame, per_message: int = 8) -> DataFrame:
-    """(msg_id, ip, status, ...): the first distinct addresses of each message with their dimension row."""
+def enrich_ips(hop: DataFrame, dimension: DataFrame, per_message: int | None = None) -> DataFrame:
+    """(msg_id, ip, status, ...): the distinct addresses of each message (the first ``per_message`` if given) with their dimension row."""
     first = hop.groupBy("msg_id", "ip").agg(F.min("hop").alias("hop"))
-    kept = skew.top_k(first, ["msg_id"], [F.col("hop"), F.col("ip")], per_message, "rank")
+    kept = first if per_message is None else skew.top_k(first, ["msg_id"], [F.col("hop"), F.col("ip")], per_message).drop("rn")
     out = kept.join(skew.broadcast_if_small(dimension), "ip", "left")
     status = F.when(~hosts.is_public_ip(F.col("ip")), "not_public").otherwise(F.coalesce("status", F.lit("unavailable")))
     return out.withColumn("status", status)
@@ -134,37 +134,73 @@ def published_policy(domain: DataFrame, dns: DataFrame, column: str = "domain")
                          F.coalesce(tags_sp, tags_p).alias("policy"))
 
 
+#: fixed values: lure words, and digits that stand for letters
+LURE = "login|secure|verify|verif|support|account|bank|pay|update|kyc|billing|alert|refund|helpdesk|service|online|customer|care"
+LEET = ("01345$", "oleass")
+#: characters of a name that a candidate must share at one place
+GRAM = 4
+
+
+def _grams(text: Column, width: int) -> Column:
+    """All substrings of ``width`` characters, and the text itself when it is shorter."""
+    return F.when(F.length(text) < width, F.array(text)).otherwise(
+        F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - width + 1), lambda i: F.substring(text, i, F.lit(width)))))
+
+
+def _without_one(text: Column) -> Column:
+    """The text and all forms of it with one character left out: two texts one edit apart share a form."""
+    shorter = F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.concat(
+        F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.length(text))))
+    return F.array_distinct(F.concat(F.array(text), F.when(F.length(text) > 0, shorter).otherwise(F.array().cast("array<string>"))))
+
+
+def _brand_keys(brand: DataFrame) -> DataFrame:
+    """(test, key, name): what a host must hold to be compared with a brand, for each kind of imitation."""
+    main = F.slice("domains", 1, 2)
+    labels = F.transform(main, hosts.first_label)
+    start = lambda x: F.substring(x, 1, GRAM)
+    long_tokens = F.filter("tokens", lambda x: F.length(x) >= 5)
+    tagged = lambda test, keys: F.transform(keys, lambda k: F.struct(F.lit(test).alias("test"), k.alias("key")))
+    keys = F.concat(
+        tagged("part", F.transform(main, start)), tagged("label", labels),
+        tagged("edit", F.flatten(F.transform(F.filter(labels, lambda x: F.length(x) >= 7), _without_one))),
+        tagged("token", F.col("tokens")), tagged("inside", F.transform(long_tokens, start)))
+    return brand.select("name", F.explode(F.array_distinct(keys)).alias("k")).select("name", "k.*")
+
+
 def lookalikes(host: DataFrame, brand: DataFrame) -> DataFrame:
     """(host, brand, why) for hosts that imitate a brand without belonging to it.
 
-    ``brand`` is a short curated table (name, domains, tokens), carried as one array inside the projection: the distinct
-    hosts are scanned once and no join pairs every host with every brand.
+    ``brand`` (name, domains, tokens) is a table of any size. Candidates come from equi-joins on keys that every kind of imitation must share
+    (the first characters of a domain or token at some place, equal labels, forms with one character left out, equal tokens); the kinds are then
+    tested exactly on each candidate.
     """
-    rows = brand.limit(5000).collect()  # curated configuration, not data
-    names = F.array(*[F.struct(
-        F.lit(r["name"]).alias("name"), F.array(*[F.lit(d) for d in r["domains"]]).alias("domains"),
-        F.array(*[F.lit(x) for x in r["tokens"]]).cast("array<string>").alias("tokens")) for r in rows])
-    lure = "login|secure|verify|verif|support|account|bank|pay|update|kyc|billing|alert|refund|helpdesk|service|online|customer|care"
     base = host.select("host").distinct().filter(hosts.is_hostname(F.col("host"))).select(
         "host", hosts.first_label(F.col("host")).alias("label"))
     base = base.withColumn("skeleton", F.lower(T.skeleton(F.col("label"))))
-    pairs = base.select("*", F.explode(names).alias("b"))
     h, label, skel = F.col("host"), F.col("label"), F.col("skeleton")
-    main = F.slice("b.domains", 1, 2)
-    genuine = F.exists("b.domains", lambda d: hosts.within(h, d))
-    labels = F.transform(main, hosts.first_label)
-    leet = F.translate(label, "01345$", "oleass")
+    leet = F.translate(label, *LEET)
     sub_labels = F.split(F.regexp_replace(F.substring(h, F.lit(1), F.length(h) - F.length(hosts.registrable(h))), "\\.$", ""), "\\.")
-    in_lure = lambda text, token: (F.length(token) >= 5) & text.contains(token) & F.replace(text, token, F.lit(" ")).rlike(lure)
+    tagged = lambda test, keys: F.transform(keys, lambda k: F.struct(F.lit(test).alias("test"), k.alias("key")))
+    held = F.concat(
+        tagged("part", F.flatten(F.array(*[_grams(h, n) for n in range(1, GRAM + 1)]))), tagged("label", F.array(label, skel, leet)),
+        tagged("edit", _without_one(label)), tagged("token", F.split(skel, "-")),
+        tagged("inside", F.flatten(F.transform(F.concat(F.array(skel), sub_labels), lambda x: _grams(x, GRAM)))))
+    keyed = base.select("host", F.explode(F.array_distinct(held)).alias("k")).select("host", "k.*")
+    pairs = keyed.join(_brand_keys(brand), ["test", "key"]).select("host", "name").distinct().join(brand, "name").join(base, "host")
+    main = F.slice("domains", 1, 2)
+    genuine = F.exists("domains", lambda d: hosts.within(h, d))
+    labels = F.transform(main, hosts.first_label)
+    in_lure = lambda text, token: (F.length(token) >= 5) & text.contains(token) & F.replace(text, token, F.lit(" ")).rlike(LURE)
     why = (
         F.when(F.exists(main, lambda d: h.contains(d) & ~hosts.within(h, d)), "embedded genuine domain")
         .when(F.array_contains(labels, label), "same name under another suffix")
         .when(F.array_contains(labels, skel), "homoglyphs spell the name")
         .when(F.exists(labels, lambda x: (F.length(x) >= 7) & hosts.one_edit(label, x)), "one-character edit")
         .when(label.rlike("[0-9]") & F.array_contains(labels, leet), "digits for letters")
-        .when(F.exists("b.tokens", lambda x: F.array_contains(F.split(skel, "-"), x) | in_lure(skel, x)), "name inside unrelated domain")
-        .when(F.exists("b.tokens", lambda x: F.exists(sub_labels, lambda s: in_lure(s, x))), "name with lure words in a subdomain"))
-    return pairs.filter(~genuine).select("host", F.col("b.name").alias("brand"), why.alias("why")).filter(F.col("why").isNotNull())
+        .when(F.exists("tokens", lambda x: F.array_contains(F.split(skel, "-"), x) | in_lure(skel, x)), "name inside unrelated domain")
+        .when(F.exists("tokens", lambda x: F.exists(sub_labels, lambda s: in_lure(s, x))), "name with lure words in a subdomain"))
+    return pairs.filter(~genuine).select("host", F.col("name").alias("brand"), why.alias("why")).filter(F.col("why").isNotNull())
 
 
 def protected_identity(message: DataFrame, identity: DataFrame) -> DataFrame:

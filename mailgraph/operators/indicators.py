@@ -13,7 +13,6 @@ KINDS = ("sender_address", "sender_domain", "reported_ip", "url", "attachment_ha
 STRONG = ("reply_address", "attachment_hash", "url", "thread_id")
 TRACKED = ("sender_domain", "sender_address", "reported_ip", "url", "attachment_hash", "reply_address")
 THREAD_ID = "<[^<> \\t\\r\\n]{1,250}>"
-THREAD_IDS_PER_HEADER = 30
 PER_CASE = 50
 
 
@@ -21,8 +20,7 @@ def extract(message: DataFrame, hop: DataFrame, url: DataFrame, attachment: Data
     """Distinct (msg_id, kind, value). One row per message carries its address indicators as an array, so the message
     table is scanned once; child tables add theirs."""
     pair = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
-    ids = lambda column: F.slice(
-        F.regexp_extract_all(F.coalesce(F.col(column), F.lit("")), F.lit(THREAD_ID), F.lit(0)), 1, THREAD_IDS_PER_HEADER)
+    ids = lambda column: F.regexp_extract_all(F.coalesce(F.col(column), F.lit("")), F.lit(THREAD_ID), F.lit(0))
     threads = F.transform(F.array_distinct(F.concat(ids("message_id"), ids("in_reply_to"))), lambda v: pair("thread_id", v))
     sender, domain = hosts.address(F.col("sender")), hosts.domain(F.col("sender"))
     known = F.array(
@@ -82,19 +80,6 @@ def links(occurrence: DataFrame) -> DataFrame:
                 F.when(F.col("kind").isin(*STRONG), "candidate").otherwise("context_only").alias("strength")))
 
 
-def pairs_up_to(occurrence: DataFrame, group_limit: int) -> DataFrame:
-    """Explicit pairs with their shared evidence, for indicators of at most ``group_limit`` messages.
-
-    Larger indicators are not dropped: ``links`` holds them (and all others) in hub form.
-    """
-    keys = ["kind", "value", "is_sample"]
-    sizes = group_sizes(occurrence).filter((F.col("hashes") > 1) & (F.col("messages") <= group_limit)).select(*keys)
-    kept = occurrence.join(sizes, keys, "left_semi")
-    a = kept.select(*keys, F.col("msg_id").alias("src"), F.col("raw_hash").alias("ha"))
-    b = kept.select(*keys, F.col("msg_id").alias("dst"), F.col("raw_hash").alias("hb"))
-    return _evidence(a.join(b, keys).filter((F.col("src") < F.col("dst")) & (F.col("ha") != F.col("hb"))))
-
-
 def neighbours(occurrence: DataFrame, chosen: DataFrame) -> DataFrame:
     """All linked messages of the chosen ones with the shared evidence: chosen rows times group size, never a square."""
     keys = ["kind", "value", "is_sample"]

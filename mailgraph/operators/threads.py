@@ -9,7 +9,6 @@ from mailgraph.functions import text as T
 from mailgraph.functions import hosts
 
 REVERSAL_SECONDS = 300
-LISTED_TRANSITIONS = 20
 
 
 def thread_tokens(message: DataFrame) -> DataFrame:
@@ -38,14 +37,12 @@ def thread_sizes(tokens: DataFrame) -> DataFrame:
     return per.withColumn("pairs", pairs).filter(F.col("pairs") > 0)
 
 
-def thread_pairs_up_to(tokens: DataFrame, group_limit: int) -> DataFrame:
-    """Explicit (src, dst) pairs for tokens met by at most ``group_limit`` messages; ``thread_sizes`` with the token
-    rows states the larger ones without listing their pairs."""
-    small = thread_sizes(tokens).filter(F.col("holders") + F.col("owners") <= group_limit).select("token")
-    kept = tokens.join(small, "token", "left_semi")
-    side = lambda name: kept.select("token", F.col("msg_id").alias(name), F.col("role").alias(f"{name}_role"))
-    met = side("a").join(side("b"), "token").filter(
-        (F.col("a") < F.col("b")) & ((F.col("a_role") == "ref") | (F.col("b_role") == "ref")))
+def thread_partners(tokens: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(src, dst): all messages that share a thread with the chosen ones; chosen rows times thread size, never a square."""
+    side = lambda df, name: df.select("token", F.col("msg_id").alias(name), F.col("role").alias(f"{name}_role"))
+    asked = tokens.join(chosen.select("msg_id"), "msg_id", "left_semi")
+    met = side(asked, "a").join(side(tokens, "b"), "token").filter(
+        (F.col("a") != F.col("b")) & ((F.col("a_role") == "ref") | (F.col("b_role") == "ref")))
     return met.select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
 
 
@@ -82,7 +79,7 @@ def relay_audit(hop: DataFrame) -> DataFrame:
     moves = F.collect_set(F.when(F.col("from_host") != F.col("by_host"), F.concat_ws(">", "from_host", "by_host")))
     back = F.collect_set(F.when(F.col("from_host") != F.col("by_host"), F.concat_ws(">", "by_host", "from_host")))
     return stepped.groupBy("msg_id").agg(
-        F.slice(F.array_sort(F.collect_list("_break")), 1, LISTED_TRANSITIONS).alias("discontinuities"),
+        F.array_sort(F.collect_list("_break")).alias("discontinuities"),
         (F.count(F.lit(1)) > F.count_distinct(F.concat_ws(">", "from_host", "by_host", "ip"))).alias("repeated"),
         F.arrays_overlap(moves, back).alias("loop"))
 

@@ -16,7 +16,8 @@ def similarity_links(message: DataFrame) -> tuple[DataFrame, DataFrame, DataFram
     reps = similarity.representatives(texts)
     near = similarity.jaccard_pairs(reps)
     near = lineage.cut(near)  # read three times below
-    hybrid = similarity.hybrid_pairs(texts, reps, without=near)
+    # only the strong tier groups messages
+    hybrid = similarity.hybrid_pairs(texts, reps, near, similarity.COSINE_STRONG, similarity.SIMHASH_STRONG)
     return similarity.members_of(texts, reps), near, lineage.cut(hybrid)
 
 

@@ -60,17 +60,16 @@ def links(t):
     return I.links(occurrences(t))
 
 
-@query("J04_pairs_small_groups", f"""
-    WITH g AS (SELECT kind, value, is_sample FROM v_occurrence GROUP BY ALL HAVING count(*) <= 40),
-         p AS (SELECT a.msg_id AS src, b.msg_id AS dst, a.kind, a.value FROM v_occurrence a JOIN v_occurrence b
-               ON a.kind = b.kind AND a.value = b.value AND a.is_sample = b.is_sample AND a.msg_id < b.msg_id
-                  AND a.raw_hash <> b.raw_hash
-               SEMI JOIN g ON g.kind = a.kind AND g.value = a.value AND g.is_sample = a.is_sample)
+@query("J04_pairs_chosen", f"""
+    WITH p AS (SELECT a.msg_id AS src, b.msg_id AS dst, a.kind, a.value FROM v_occurrence a JOIN v_occurrence b
+               ON a.kind = b.kind AND a.value = b.value AND a.is_sample = b.is_sample AND a.msg_id <> b.msg_id AND a.raw_hash <> b.raw_hash
+               WHERE a.msg_id % 100 = 0)
     SELECT src, dst, string_agg(kind || '=' || value, ';' ORDER BY kind, value) AS evidence,
            CASE WHEN bool_or(kind IN {STRONG}) THEN 'candidate' ELSE 'context_only' END AS strength FROM p GROUP BY src, dst""")
 def pairs(t):
     joined = F.array_join(F.transform("evidence", lambda e: F.concat(e["kind"], F.lit("="), e["value"])), ";")
-    return I.pairs_up_to(occurrences(t), 40).withColumn("evidence", joined)
+    chosen = t.message.filter(F.col("msg_id") % 100 == 0)
+    return I.neighbours(occurrences(t), chosen).withColumn("evidence", joined)
 
 
 @query("J08_history", f"""

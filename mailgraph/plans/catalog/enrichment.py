@@ -233,7 +233,7 @@ def rescored(t):
 
 
 @query("J22_ip_enrichment", """
-    WITH k AS (SELECT msg_id, ip, min(hop) AS hop FROM v_hop GROUP BY msg_id, ip QUALIFY row_number() OVER (PARTITION BY msg_id ORDER BY min(hop), ip) <= 8)
+    WITH k AS (SELECT msg_id, ip, min(hop) AS hop FROM v_hop GROUP BY msg_id, ip)
     SELECT k.msg_id, k.ip, CASE WHEN k.ip LIKE '10.%' OR k.ip LIKE '192.168.%' THEN 'not_public' ELSE coalesce(g.status, 'unavailable') END AS status,
            coalesce(regexp_matches(lower(usage), 'hosting|data center|transit|vpn|proxy') OR abuse > 50, false) AS anonymised
     FROM k LEFT JOIN v_geo g ON g.ip = k.ip""")

@@ -164,7 +164,7 @@ CLASS_SQL = r"""
                         WHEN status = 'ready' AND label = 'benign' THEN 'legitimate' ELSE 'undetermined' END AS primary_class,
            CASE WHEN len(active) > 1 THEN array_to_string(active[2:], ',') ELSE '' END AS secondary,
            array_to_string(CASE WHEN len(phishing) > 0 THEN phishing WHEN len(fraud) > 0 THEN fraud
-               WHEN len(impersonated) > 0 THEN impersonated ELSE titles[1:6] END, ',') AS evidence,
+               WHEN len(impersonated) > 0 THEN impersonated ELSE titles END, ',') AS evidence,
            CASE WHEN len(active) = 0 AND (score >= 25 OR len(titles) > 0) AND titles = ['High model phishing probability']
                 THEN 'model_only' ELSE 'rules_and_model' END AS basis
     FROM cls"""
@@ -303,7 +303,7 @@ def rule_registry(t):
 
 @query("S07_event_sink", """
     SELECT sha256('mailgraph-event-v1:' || msg_id) AS event_id, msg_id AS case_id, raw_hash AS email_sha256, score, risk, priority,
-           array_to_string(titles[1:100], '|') AS findings FROM v_triage""")
+           array_to_string(titles, '|') AS findings FROM v_triage""")
 def event_sink(t):
     return sinks.events(Evidence(t).case).select(
         "event_id", "case_id", "email_sha256", "score", "risk", "priority", F.array_join("findings", "|").alias("findings"))

@@ -58,7 +58,7 @@ VIEWS = {
                + 0.4::DOUBLE * quality AS p
         FROM labels""",
     "v_corpus": r"""
-        SELECT doc_id AS msg_id, text, source, lang, (doc_id % 2)::INTEGER AS label FROM documents""",
+        SELECT doc_id AS msg_id, text, source, lang, quality AS label FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL""",
     "v_indicator": r"""
         SELECT DISTINCT msg_id, kind, value FROM (
             SELECT msg_id, 'reply_address' AS kind, lower(reply_to) AS value FROM v_message

@@ -10,7 +10,6 @@ from mailgraph.operators import enrichment as E
 
 FEED_SCHEMA = ("phish_id STRING, url STRING, phish_detail_url STRING, submission_time STRING, verified STRING, verification_time STRING, "
                "online STRING, target STRING, _corrupt_record STRING")
-MAX_ENTRIES = 500_000
 
 
 def read_feed(spark: SparkSession, path: str, schema: str = FEED_SCHEMA) -> DataFrame:
@@ -26,7 +25,7 @@ def snapshot(rows: DataFrame, order: Column) -> DataFrame:
     return keyed.groupBy("digest").agg(F.max_by(F.struct("record_id", "verified_at"), "_o").alias("r")).select("digest", "r.*")
 
 
-def quality(entries: DataFrame, meta: DataFrame, as_of: Column, source: str, most: int = MAX_ENTRIES) -> DataFrame:
+def quality(entries: DataFrame, meta: DataFrame, as_of: Column, source: str, most: int | None = None) -> DataFrame:
     """One row that says whether a snapshot may be used, and why not. ``meta`` holds (source, fetched_at, source_modified)."""
     counts = entries.agg(
         F.count(F.lit(1)).alias("entries"), F.count_if(~F.col("digest").rlike("^[0-9a-f]{64}$")).alias("bad_digests"),
@@ -36,14 +35,13 @@ def quality(entries: DataFrame, meta: DataFrame, as_of: Column, source: str, mos
     sane = (fetched > 0) & (fetched <= F.unix_seconds(as_of) + 300) & (modified.isNull() | (modified > 0))
     return counts.select(
         "entries", "bad_digests", "bad_ids", (of("source") == source).alias("source_ok"), F.coalesce(sane, F.lit(False)).alias("time_ok"),
-        F.col("entries").between(1, most).alias("size_ok")).withColumn(
+        ((F.col("entries") >= 1) & (F.lit(True) if most is None else F.col("entries") <= most)).alias("size_ok")).withColumn(
         "usable", F.col("source_ok") & F.col("time_ok") & F.col("size_ok") & (F.col("bad_digests") == 0) & (F.col("bad_ids") == 0))
 
 
-def publish(entries: DataFrame, path: str, version: str, most: int = MAX_ENTRIES) -> str | None:
-    """Write a new version folder when the snapshot is neither empty nor oversized; otherwise the previous one stays."""
-    size = entries.limit(most + 1).count()
-    if not 0 < size <= most:
+def publish(entries: DataFrame, path: str, version: str) -> str | None:
+    """Write a new version folder unless the snapshot is empty; then the previous one stays."""
+    if entries.isEmpty():
         return None
     target = f"{path}/version={version}"
     entries.write.mode("error").parquet(target)

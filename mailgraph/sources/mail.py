@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 
 from mailgraph.functions import text as T
 
-MAX_BYTES = 1024 * 1024
-MAX_PARTS = 100
 PARSED = (
     "path STRING, reject STRING, raw_hash STRING, sender STRING, recipient STRING, subject STRING, date STRING, body STRING, "
     "headers ARRAY<STRUCT<pos: INT, name: STRING, value: STRING>>, "
@@ -22,10 +20,10 @@ PARSED = (
 )
 
 
-def read_raw(spark: SparkSession, folder: str, pattern: str = "*.eml") -> DataFrame:
-    """(path, content, too_large): oversized files keep their row but not their bytes."""
+def read_raw(spark: SparkSession, folder: str, pattern: str = "*.eml", most_bytes: int | None = None) -> DataFrame:
+    """(path, content, too_large): empty files, and those above ``most_bytes`` if given, keep their row but not their bytes."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    too_large = (F.col("length") > MAX_BYTES) | (F.col("length") == 0)
+    too_large = (F.col("length") == 0) | (F.lit(False) if most_bytes is None else F.col("length") > most_bytes)
     return files.select("path", F.when(~too_large, F.col("content")).alias("content"), too_large.alias("too_large"))
 
 
@@ -35,8 +33,6 @@ def _parse(content: bytes) -> dict:
         return {"reject": "missing From"}
     parts, texts, html = [], [], []
     for pos, part in enumerate(message.walk()):
-        if pos > MAX_PARTS:
-            return {"reject": "too many parts"}
         if part.is_multipart():
             continue
         payload = part.get_payload(decode=True) or b""

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from mailgraph.operators.decisions import MISMATCH_TITLES, has
 
 MASK = "[REDACTED]"
-TITLES_PER_EVENT = 100
 
 
 def redacted(case: DataFrame) -> DataFrame:
@@ -25,7 +24,7 @@ def events(case: DataFrame, prefix: str = "mailgraph-event-v1:") -> DataFrame:
     return case.select(
         F.sha2(F.concat(F.lit(prefix), F.col("msg_id")), 256).alias("event_id"), F.col("msg_id").alias("case_id"),
         F.col("raw_hash").alias("email_sha256"), "created", "score", "risk", "is_sample", "priority", "spf", "dkim", "dmarc",
-        F.slice("titles", 1, TITLES_PER_EVENT).alias("findings"))
+        F.col("titles").alias("findings"))
 
 
 def _escaped(value: Column) -> Column:

@@ -28,14 +28,8 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def read_spread(self, name: str) -> DataFrame:
-        """A text table. When it comes in fewer files than there are cores, its rows are spread over all of them."""
-        df = self.read(name)
-        cores = self.spark.sparkContext.defaultParallelism
-        return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-    documents = cached_property(lambda self: self.read_spread("documents"))
-    pages = cached_property(lambda self: self.read_spread("pages"))
+    documents = cached_property(lambda self: self.read("documents"))
+    pages = cached_property(lambda self: self.read("pages"))
     labels = cached_property(lambda self: self.read("labels"))
     conversations = cached_property(lambda self: self.read("conversations"))
 
@@ -144,8 +138,9 @@ class Tables:
 
     @cached_property
     def corpus(self) -> DataFrame:
-        return self.documents.select(
-            F.col("doc_id").alias("msg_id"), "text", "source", "lang", (F.col("doc_id") % 2).cast("int").alias("label"))
+        """Labelled texts; those without a label are no training data."""
+        labels = self.labels.filter(F.col("quality").isNotNull()).select("doc_id", F.col("quality").alias("label"))
+        return self.documents.join(labels, "doc_id").select(F.col("doc_id").alias("msg_id"), "text", "source", "lang", "label")
 
     @cached_property
     def planted(self) -> DataFrame:

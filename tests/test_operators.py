@@ -128,9 +128,38 @@ def test_campaign_rules(spark):
     summary = components.campaign_summary(members).orderBy("root").collect()
     assert [r["count"] for r in summary] == [3, 2]
     import hashlib
-    assert summary[0].campaign_id == hashlib.sha256(b"1|2|3").hexdigest()[:12]
-    chunked = components.campaign_summary(members, exact_up_to=1, chunk=2)
-    assert chunked.count() == 2
+    marks = sum(int(hashlib.sha256(str(i).encode()).hexdigest()[:12], 16) for i in (1, 2, 3))
+    assert summary[0].campaign_id == hashlib.sha256(f"3|1|3|{marks}".encode()).hexdigest()[:12]
+
+
+def test_campaign_id_has_one_rule_for_every_size(spark):
+    import hashlib
+    n = 10_001
+    members = spark.range(n).selectExpr("id AS msg_id", "0L AS root", "timestamp_seconds(id) AS created", "false AS is_sample")
+    marks = sum(int(hashlib.sha256(str(i).encode()).hexdigest()[:12], 16) for i in range(n))
+    got = components.campaign_summary(members).first()
+    assert (got["count"], got.campaign_id) == (n, hashlib.sha256(f"{n}|0|{n - 1}|{marks}".encode()).hexdigest()[:12])
+
+
+def test_long_headers_and_relays_are_kept_whole(spark):
+    held = " ".join(f"<t{i}@x>" for i in range(31))
+    m = spark.createDataFrame([(1, "<m@x>", held, "u@x.example", None)], "msg_id long, message_id string, in_reply_to string, sender string, reply_to string")
+    hop = spark.createDataFrame([(1, i, f"8.8.8.{i}") for i in range(9)], "msg_id long, hop int, ip string")
+    url = spark.createDataFrame([], "msg_id long, url string")
+    attachment = spark.createDataFrame([], "msg_id long, sha256 string")
+    assert I.extract(m, hop, url, attachment).filter("kind = 'thread_id'").count() == 32
+    place = spark.createDataFrame([("8.8.8.8", "ok")], "ip string, status string")
+    assert E.enrich_ips(hop, place).count() == 9
+    assert E.enrich_ips(hop, place, per_message=2).count() == 2
+
+
+def test_lookalikes_of_many_brands(spark):
+    brand = spark.range(6000).selectExpr("concat('Brand', id) AS name", "array(concat('brand', id, 'corp.example')) AS domains", "array(concat('brandname', id)) AS tokens")
+    host = spark.createDataFrame([("brand5999corp.test",), ("brand5998c0rp.test",), ("x.brand5997corp.example.test",), ("other.test",)], "host string")
+    got = {(r.host, r.brand): r.why for r in E.lookalikes(host, brand).collect()}
+    assert got[("brand5999corp.test", "Brand5999")] == "same name under another suffix"
+    assert got[("x.brand5997corp.example.test", "Brand5997")] == "embedded genuine domain"
+    assert ("brand5998c0rp.test", "Brand5998") in got and not any(h == "other.test" for h, _ in got)
 
 
 def test_shared_indicator_rules(spark):
@@ -138,7 +167,8 @@ def test_shared_indicator_rules(spark):
     indicator = spark.createDataFrame([(i, "url", "u") for i in (1, 2, 3, 4)] + [(3, "sender_domain", "d"), (1, "sender_domain", "d")],
                                       "msg_id long, kind string, value string")
     occurrence = I.occurrences(indicator, m.withColumn("session_id", F.lit(1)))
-    pairs = {(r.src, r.dst): (r.strength, [e.kind for e in r.evidence]) for r in I.pairs_up_to(occurrence, 10).collect()}
+    chosen = spark.createDataFrame([(1,), (2,)], "msg_id long")
+    pairs = {(r.src, r.dst): (r.strength, [e.kind for e in r.evidence]) for r in I.neighbours(occurrence, chosen).collect()}
     assert pairs == {(1, 3): ("candidate", ["sender_domain", "url"]), (2, 3): ("candidate", ["url"])}
     assert {r.pairs for r in I.shared(occurrence).filter("kind = 'url'").collect()} == {2}
     chosen = spark.createDataFrame([(3,)], "msg_id long")
@@ -174,7 +204,7 @@ def test_threads(spark):
     rows = [(1, "<a@x>", None, "u@x", "Invoice"), (2, "<b@x>", "<a@x>", "u@x", "Re: Invoice"), (3, "<c@x>", "<a@x>", "u@x", "Invoice"),
             (4, None, None, "u@x", "Re: Invoice"), (5, None, None, "u@x", "invoice"), (6, "<z@x>", None, "u@x", "Invoice"), (7, "unknown", None, "v@x", "-")]
     m = spark.createDataFrame(rows, "msg_id long, message_id string, in_reply_to string, sender string, subject string").selectExpr("*", "timestamp_seconds(msg_id) AS created")
-    got = {(r.src, r.dst) for r in TH.thread_pairs_up_to(TH.thread_tokens(m), 100).collect()}
+    got = {(r.src, r.dst) for r in TH.thread_partners(TH.thread_tokens(m), m).collect() if r.src < r.dst}
     assert got == {(1, 2), (1, 3), (2, 3), (4, 5)}
     values = spark.createDataFrame([(1, "p@ybl"), (2, "p@ybl"), (3, "q@ybl"), (6, "new@ybl")], "msg_id long, value string")
     assert [tuple(r) for r in TH.changed_in_thread(TH.thread_tokens(m), values).collect()] == [(3, "q@ybl")]

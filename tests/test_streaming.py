@@ -91,7 +91,7 @@ def test_mail_ingest(spark, tmp_path):
     (tmp_path / "1.eml").write_text(MAIL)
     (tmp_path / "2.eml").write_text("Subject: no sender\n\nbody")
     (tmp_path / "3.eml").write_bytes(b"From: a@b.test\n\n" + b"x" * (1024 * 1024))
-    out = mail.tables(mail.parse(mail.read_raw(spark, str(tmp_path))).cache())
+    out = mail.tables(mail.parse(mail.read_raw(spark, str(tmp_path), most_bytes=1024 * 1024)).cache())
     assert {(r.reject, r.files) for r in out["rejects"].collect()} == {("missing From", 1), ("size", 1)}
     row = out["messages"].first()
     assert row.subject == "Hi" and "var z" not in row.body
@@ -108,7 +108,7 @@ def test_feed_snapshot(spark, tmp_path):
     entries = feeds.snapshot(rows, F.col("phish_id"))
     assert [(r.record_id, r.verified_at) for r in entries.collect()] == [("2", "t2")]
     assert feeds.publish(entries.limit(0), str(tmp_path / "v"), "1") is None
-    assert feeds.publish(entries, str(tmp_path / "v"), "2") and feeds.publish(entries, str(tmp_path / "v"), "3", most=0) is None
+    assert feeds.publish(entries, str(tmp_path / "v"), "2")
     meta = spark.createDataFrame([("feed", 100, None)], "source string, fetched_at long, source_modified long")
     as_of = F.timestamp_seconds(F.lit(200))
     assert feeds.quality(entries, meta, as_of, "feed").first().usable
@@ -120,3 +120,9 @@ def test_feed_snapshot(spark, tmp_path):
 def test_csv_cells_are_neutralised(spark):
     df = spark.createDataFrame([("=1+1",), (" @x",), ("-2",), ("ok",), (None,)], "v string")
     assert [r[0] for r in df.select(sinks.safe_cell(F.col("v"))).collect()] == ["'=1+1", "' @x", "'-2", "ok", ""]
+
+
+def test_large_mail_is_read_whole_by_default(spark, tmp_path):
+    (tmp_path / "1.eml").write_bytes(b"From: a@b.test\nSubject: big\n\n" + b"word " * (2 * 1024 * 1024 // 5))
+    out = mail.tables(mail.parse(mail.read_raw(spark, str(tmp_path))).cache())
+    assert out["rejects"].count() == 0 and out["messages"].selectExpr("length(body)").first()[0] > 2_000_000
