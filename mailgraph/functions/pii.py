@@ -18,19 +18,20 @@ VERHOEFF_P = (
     (2, 7, 9, 3, 8, 0, 6, 4, 1, 5), (7, 0, 4, 6, 9, 1, 3, 2, 5, 8),
 )
 
-# Identifier shapes and the masks that replace them.
-ID12 = "(?<![A-Za-z0-9_])[2-9][0-9]{3}[ -]?[0-9]{4}[ -]?[0-9]{4}(?![A-Za-z0-9_])"
+# Identifier shapes and the masks that replace them. (?U) gives word borders, blanks and digits their Unicode meaning.
+ID12 = "(?U)\\b[2-9]\\d{3}[\\s-]?\\d{4}[\\s-]?\\d{4}\\b"
 PAN = "(?<![A-Za-z0-9_])[A-Za-z]{5}[0-9]{4}[A-Za-z](?![A-Za-z0-9_])"
 UPI_HANDLES = ("oksbi|okhdfcbank|okaxis|okicici|ybl|paytm|apl|axl|ibl|upi|sbi|hdfcbank|icici|axisbank|barodampay|"
                "pnb|kotak|federal|idfcfirst|fbl")
 UPI = f"(?i)(?<![A-Za-z0-9_])[a-z0-9._-]{{2,256}}@(?:{UPI_HANDLES})(?![A-Za-z0-9_.-])"
-PHONE = "(?<![A-Za-z0-9_])(?:\\+?91[ -]?|0)?[6-9][0-9]{4}[ -]?[0-9]{5}(?![0-9])"
+PHONE = "(?U)(?<![\\d\\w])(?:\\+?91[\\s-]?|0)?[6-9]\\d{4}[\\s-]?\\d{5}(?!\\d)"
 EMAIL = "(?<![A-Za-z0-9_])([A-Za-z0-9._%+-])[A-Za-z0-9._%+-]*@([A-Za-z0-9.-]+\\.[A-Za-z]{2,})(?![A-Za-z0-9_])"
 IFSC = "(?<![A-Za-z0-9_])[A-Za-z]{4}0[A-Za-z0-9]{6}(?![A-Za-z0-9_])"
 MASKS = {"aadhaar": "[AADHAAR REDACTED]", "pan": "[PAN REDACTED]", "upi": "[UPI REDACTED]", "phone": "[PHONE REDACTED]"}
 
-ACCOUNT_BEFORE = "(?i)(?:account|a/?c|acct)\\.?[ \\t]*(?:no\\.?|number|#)?\\.?[ \\t]*:?[ \\t]*([0-9]{9,18})(?![0-9])"
-ACCOUNT_AFTER = "(?i)([0-9]{9,18})(?![0-9])[ \\t]*(?:account|a/?c|acct)"
+# Account numbers next to the word.
+ACCOUNT_BEFORE = "(?i)(?:account|a/?c|acct)\\.?\\s*(?:no\\.?|number|#)?\\.?\\s*:?\\s*([0-9]{9,18})(?![0-9])"
+ACCOUNT_AFTER = "(?i)([0-9]{9,18})(?![0-9])\\s*(?:account|a/?c|acct)"
 
 
 def verhoeff_valid(digits: Column) -> Column:

@@ -27,7 +27,7 @@ def chain(events: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     start = F.lit(GENESIS)
     rows = events.select("session_id", "seq", "payload")
     if heads is not None:
-        rows = rows.join(skew.broadcast_if_small(heads), "session_id", "left")
+        rows = rows.join(heads, "session_id", "left")
         start = F.coalesce("head", start)
     rows = rows.select("session_id", "seq", "payload", start.alias("start"))
 

@@ -25,7 +25,7 @@ def freshness(fetched: Column, as_of: Column, modified: Column | None = None, li
 def feed_match(url: DataFrame, feed: DataFrame, feed_state: str | Column) -> DataFrame:
     """Left join on the digest of the canonical link; listed / listed_stale / not_listed / the feed's own state."""
     state = F.lit(feed_state) if isinstance(feed_state, str) else feed_state
-    joined = url.withColumn("digest", hosts.url_digest(F.col("url"))).join(skew.broadcast_if_small(feed), "digest", "left")
+    joined = url.withColumn("digest", hosts.url_digest(F.col("url"))).join(feed, "digest", "left")
     hit = F.col("record_id").isNotNull()
     return joined.withColumn("feed_status", F.when(hit, F.when(state == "fresh", "listed").otherwise("listed_stale"))
                              .otherwise(F.when(state == "fresh", "not_listed").otherwise(state)))
@@ -33,7 +33,7 @@ def feed_match(url: DataFrame, feed: DataFrame, feed_state: str | Column) -> Dat
 
 def members(observed: DataFrame, listing: DataFrame, on: str = "ip") -> DataFrame:
     """Observed rows whose value is in the listing."""
-    return observed.join(skew.broadcast_if_small(listing.select(on).distinct()), on, "left_semi")
+    return observed.join(listing.select(on).distinct(), on, "left_semi")
 
 
 def cidr_ranges(cidr: DataFrame, column: str = "cidr") -> DataFrame:
@@ -57,7 +57,7 @@ def in_ranges(observed: DataFrame, ranges: DataFrame, ip: str = "ip", bits: int
     distinct = observed.select(ip).distinct().withColumn("_n", hosts.ipv4_number(F.col(ip))).filter("_n IS NOT NULL")
     keyed = distinct.withColumn("_bucket", F.floor(F.col("_n") / width))
     spread = ranges.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
-    hits = keyed.join(skew.broadcast_if_small(spread), "_bucket").filter(F.col("_n").between(F.col("lo"), F.col("hi")))
+    hits = keyed.join(spread, "_bucket").filter(F.col("_n").between(F.col("lo"), F.col("hi")))
     extra = [c for c in ranges.columns if c not in ("lo", "hi", "ver")]
     return observed.join(hits.select(ip, *extra).distinct(), ip)
 
@@ -72,7 +72,7 @@ def enrich_ips(hop: DataFrame, dimension: DataFrame, per_message: int | None = N
     """(msg_id, ip, status, ...): the distinct addresses of each message (the first ``per_message`` if given) with their dimension row."""
     first = hop.groupBy("msg_id", "ip").agg(F.min("hop").alias("hop"))
     kept = first if per_message is None else skew.top_k(first, ["msg_id"], [F.col("hop"), F.col("ip")], per_message).drop("rn")
-    out = kept.join(skew.broadcast_if_small(dimension), "ip", "left")
+    out = kept.join(dimension, "ip", "left")
     status = F.when(~hosts.is_public_ip(F.col("ip")), "not_public").otherwise(F.coalesce("status", F.lit("unavailable")))
     return out.withColumn("status", status)
 
@@ -94,7 +94,7 @@ def origin(hop: DataFrame, geo: DataFrame, context: DataFrame) -> DataFrame:
                               .when(F.col("hop_ip").isNotNull(), "low").otherwise("undetermined"))
     located = graded.withColumn("ip", F.when(attested, F.col("client_ip")).otherwise(F.col("hop_ip")))
     available = geo.filter(F.col("status") == "available").select("ip", "country", "asn")
-    return located.join(skew.broadcast_if_small(available), "ip", "left")
+    return located.join(available, "ip", "left")
 
 
 # ---- domains ----------------------------------------------------------------------------------------------------
@@ -114,7 +114,7 @@ def published_policy(domain: DataFrame, dns: DataFrame, column: str = "domain")
     that record's own name (n), the name one label below it (y), or the highest record found.
     """
     names = domain.select(column).distinct().select(column, F.posexplode(ancestors(F.col(column))).alias("depth", "name"))
-    found = names.join(skew.broadcast_if_small(dns), "name")
+    found = names.join(dns, "name")
     stop = found.filter(F.col("psd").isin("y", "n")).groupBy(column).agg(F.min("depth").alias("stop"))
     walked = found.join(stop, column, "left").filter(F.col("stop").isNull() | (F.col("depth") <= F.col("stop")))
     record = F.struct("depth", "name", "p", "sp", "psd")
@@ -208,7 +208,7 @@ def protected_identity(message: DataFrame, identity: DataFrame) -> DataFrame:
     name = lambda c: F.trim(F.regexp_replace(F.lower(c), T.WS, " "))
     shown = message.select("msg_id", name(hosts.display_name(F.col("sender"))).alias("key"), hosts.address(F.col("sender")).alias("address"),
                            hosts.domain(F.col("sender")).alias("domain"))
-    known = skew.broadcast_if_small(identity.withColumn("key", name(F.col("name"))))
+    known = identity.withColumn("key", name(F.col("name")))
     allowed = F.when(F.size("addresses") > 0, F.array_contains("addresses", F.col("address"))).otherwise(
         F.exists("domains", lambda d: hosts.within(F.col("domain"), d)))
     return shown.join(known, "key").filter(~allowed).select("msg_id", F.col("name").alias("identity"), "domain")
@@ -233,7 +233,7 @@ def domain_resemblance(message: DataFrame, peer: DataFrame) -> DataFrame:
 def delegation(domain: DataFrame, bootstrap: DataFrame) -> DataFrame:
     """First https endpoint of each top-level domain in registry order; ``bootstrap`` holds (pos, tld, url)."""
     secure = bootstrap.filter(F.col("url").startswith("https://")).groupBy("tld").agg(F.min_by("url", "pos").alias("endpoint"))
-    return domain.withColumn("tld", F.substring_index("domain", ".", -1)).join(skew.broadcast_if_small(secure), "tld", "left")
+    return domain.withColumn("tld", F.substring_index("domain", ".", -1)).join(secure, "tld", "left")
 
 
 def infrastructure_print(observation: DataFrame) -> DataFrame:
@@ -253,7 +253,7 @@ def attachment_verdicts(attachment: DataFrame, verdict: DataFrame) -> DataFrame:
     usable = verdict.filter((F.col("status") == "available") & (F.col("malicious") >= 0) & (F.col("suspicious") >= 0)
                             & (F.col("malicious") + F.col("suspicious") > 0))
     many = F.col("malicious") >= 3
-    return known.join(skew.broadcast_if_small(usable), "sha256").select(
+    return known.join(usable, "sha256").select(
         "msg_id", F.lit("reputation").alias("grp"),
         F.when(many, "Attachment flagged by multiple engines").otherwise("Attachment reputation requires review").alias("title"),
         F.col("sha256").alias("detail"), F.when(many, 60).otherwise(15).alias("points"))
@@ -264,7 +264,7 @@ def receipts(receipt: DataFrame, message: DataFrame, key: DataFrame, as_of: Colu
     """Receipts that match a stored message, are signed with the receiver's key and were issued within the window (seconds)."""
     age = F.unix_seconds(as_of) - F.col("issued_at")
     unsigned = crypto.canonical_json(F.col("issued_at"), F.col("receiver"), F.col("sha256"))
-    signed = receipt.join(skew.broadcast_if_small(key), "receiver").filter(F.length("key") >= 32)
+    signed = receipt.join(key, "receiver").filter(F.length("key") >= 32)
     expected = crypto.hmac_sha256_by_column(F.col("key"), unsigned)
     valid = signed.filter((expected == F.col("signature")) & age.between(*window))
     return valid.join(message.select("msg_id", F.col("raw_hash").alias("sha256")), "sha256").select("msg_id", "receiver", "issued_at")

@@ -86,7 +86,7 @@ def neighbours(occurrence: DataFrame, chosen: DataFrame) -> DataFrame:
     a = occurrence.join(chosen.select("msg_id"), "msg_id", "left_semi").select(
         *keys, F.col("msg_id").alias("src"), F.col("raw_hash").alias("ha"))
     b = occurrence.select(*keys, F.col("msg_id").alias("dst"), F.col("raw_hash").alias("hb"))
-    return _evidence(b.join(skew.broadcast_if_small(a), keys).filter(
+    return _evidence(b.join(a, keys).filter(
         (F.col("src") != F.col("dst")) & (F.col("ha") != F.col("hb"))))
 
 
@@ -133,7 +133,7 @@ def prior_cases(occurrence: DataFrame, chosen: DataFrame, keep: int | None = Non
     current = occurrence.filter(F.col("kind").isin(*TRACKED)).join(chosen.select("msg_id"), "msg_id", "left_semi").select(
         *keys, "msg_id")
     others = occurrence.select(*keys, F.col("msg_id").alias("other_id"), F.col("created").alias("at"))
-    hits = others.join(skew.broadcast_if_small(current), keys).filter(F.col("other_id") != F.col("msg_id"))
+    hits = others.join(current, keys).filter(F.col("other_id") != F.col("msg_id"))
     if keep:
         hits = skew.top_k(hits, ["msg_id", *keys], [F.col("at").desc(), F.col("other_id").desc()], keep, "_rn").drop("_rn")
     return hits.groupBy("msg_id", *keys).agg(

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailgraph.functions import crypto
-from mailgraph.plans import skew
 
 RETENTION_DAYS = 90
 
@@ -19,7 +18,7 @@ def keyed(occurrence: DataFrame, key: bytes) -> DataFrame:
     live = occurrence.filter(~F.col("is_sample"))
     values = live.select("kind", "value").distinct().withColumn("h", crypto.indicator_hash(key, F.col("kind"), F.col("value")))
     sessions = live.select("session_id").distinct().withColumn("s", crypto.session_marker(key, F.col("session_id")))
-    return live.join(values, ["kind", "value"]).join(skew.broadcast_if_small(sessions), "session_id").select(
+    return live.join(values, ["kind", "value"]).join(sessions, "session_id").select(
         "h", "kind", "s", F.col("created").alias("at"))
 
 

@@ -60,7 +60,7 @@ def check_digit(t):
            CASE WHEN msg_id % 4 = 3 THEN '12345432' || (10 + msg_id % 7) ELSE '' END AS account,
            CASE WHEN msg_id % 4 = 3 THEN 'HDFC0123456' ELSE '' END AS ifsc FROM v_planted""")
 def payment_tokens(t):
-    return K.payment_profile(t.planted, "note", "msg_id").select("msg_id", *[F.array_join(c, ",").alias(c) for c in ("upi", "account", "ifsc")])
+    return K.payment_profile(t.planted, "text", "msg_id").select("msg_id", *[F.array_join(c, ",").alias(c) for c in ("upi", "account", "ifsc")])
 
 
 @query("R13_payment_change", """
@@ -69,7 +69,7 @@ def payment_tokens(t):
     SELECT c.msg_id, any_value(c.value) AS value FROM v c JOIN mate m ON m.me = c.msg_id JOIN v p ON p.msg_id = m.other AND p.created < c.created
     GROUP BY c.msg_id HAVING NOT bool_or(p.value = c.value)""")
 def payment_change(t):
-    values = K.payment_profile(t.planted, "note", "msg_id").select("msg_id", F.explode("upi").alias("value"))
+    values = K.payment_profile(t.planted, "text", "msg_id").select("msg_id", F.explode("upi").alias("value"))
     return TH.changed_in_thread(TH.thread_tokens(t.message), values)
 
 
@@ -88,29 +88,29 @@ def canonical_json(t):
 
 
 @query("F13_skeleton", """
-    SELECT msg_id, translate(note, chr(1088) || chr(1086) || chr(1077) || chr(1074) || chr(1090) || chr(8203), 'poebt') AS skeleton FROM v_planted
-    WHERE regexp_matches(note, '[' || chr(1088) || chr(1086) || chr(1077) || chr(1074) || chr(8203) || ']')""")
+    SELECT msg_id, sha256(translate(text, chr(1088) || chr(1086) || chr(1077) || chr(1074) || chr(1090) || chr(8203), 'poebt')) AS skeleton FROM v_planted
+    WHERE regexp_matches(text, '[' || chr(1088) || chr(1086) || chr(1077) || chr(1074) || chr(8203) || ']')""")
 def skeleton(t):
-    return t.planted.filter(T.has_suspect(F.col("note"))).select("msg_id", T.skeleton(F.col("note")).alias("skeleton"))
+    return t.planted.filter(T.has_suspect(F.col("text"))).select("msg_id", F.sha2(T.skeleton(F.col("text")), 256).alias("skeleton"))
 
 
 @query("F14_homoglyph_words", """
     SELECT msg_id, chr(1088) || 'lease,ign' || chr(1086) || 're,instructi' || chr(1086) || 'ns' AS words FROM v_planted WHERE msg_id % 5 = 1
     UNION ALL SELECT msg_id, 'a' || chr(8203) || 'b' || chr(8203) || 'c' || chr(8203) || 'd' || chr(8203) || 'e' || chr(8203) FROM v_planted WHERE msg_id % 5 = 2""")
 def homoglyph_words(t):
-    return t.planted.select("msg_id", F.array_join(T.homoglyph_words(F.col("note")), ",").alias("words")).filter("words <> ''")
+    return t.planted.select("msg_id", F.array_join(T.homoglyph_words(F.col("text")), ",").alias("words")).filter("words <> ''")
 
 
 @query("F15_language_coverage", r"""
-    WITH c AS (SELECT msg_id, len(regexp_extract_all(note, '\p{L}')) AS letters, len(regexp_extract_all(note, '\p{Cyrillic}')) AS cyr,
-                      len(list_distinct(list_filter(regexp_extract_all(lower(note), '[a-z]+'), lambda w: list_contains(
+    WITH c AS (SELECT msg_id, len(regexp_extract_all(text, '\p{L}')) AS letters, len(regexp_extract_all(text, '\p{Cyrillic}')) AS cyr,
+                      len(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: list_contains(
                           ['kripya', 'apna', 'khata', 'turant', 'karo', 'nahi', 'band', 'hoga'], w)))) AS hits,
-                      len(list_filter(regexp_extract_all(lower(note), '[a-z]+'), lambda w: list_contains(
-                          ['kripya', 'apna', 'khata', 'turant', 'karo', 'nahi', 'band', 'hoga'], w)))::DOUBLE / len(regexp_extract_all(lower(note), '[a-z]+')) AS share
+                      len(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: list_contains(
+                          ['kripya', 'apna', 'khata', 'turant', 'karo', 'nahi', 'band', 'hoga'], w)))::DOUBLE / len(regexp_extract_all(lower(text), '[a-z]+')) AS share
                FROM v_planted)
     SELECT msg_id, CASE WHEN cyr::DOUBLE / letters >= 0.05 THEN 'code-mixed' WHEN hits >= 3 AND share >= 0.12 THEN 'hinglish' ELSE 'english' END AS language FROM c""")
 def language_coverage(t):
-    return t.planted.select("msg_id", language.coverage(F.col("note"))["language"].alias("language"))
+    return t.planted.select("msg_id", language.coverage(F.col("text"))["language"].alias("language"))
 
 
 @query("F15_coverage_by_source", r"""
@@ -166,7 +166,7 @@ def instruction_status(t):
 @query("R01_localised_wording", """
     SELECT msg_id, 'Credential pressure' AS title FROM v_planted WHERE msg_id % 7 = 3 OR msg_id % 5 = 3""")
 def localised_wording(t):
-    return rules.scan(t.planted, "note", (*rules.ENGLISH, *rules.LOCALISED), "msg_id").select("msg_id", "title")
+    return rules.scan(t.planted, "text", (*rules.ENGLISH, *rules.LOCALISED), "msg_id").select("msg_id", "title")
 
 
 @query("R03_attachment_signatures", """

@@ -12,17 +12,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SMALL_ROWS = 200_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
-    """Mark a dimension for broadcast only after counting at most ``max_rows + 1`` of its rows.
-
-    Beyond the bound the frame is returned unmarked, so the join is shuffled and AQE splits hot keys.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def time_bucket(ts: Column, seconds: int) -> Column:
     return F.floor(F.unix_seconds(ts) / F.lit(seconds))
 

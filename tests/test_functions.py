@@ -122,3 +122,8 @@ def test_rules(spark):
     df = spark.createDataFrame([(1, "Please verify your account password"), (2, "kripya khata band hoga jaldi"), (3, "nothing here")], "id int, t string")
     found = {(r.id, r.title) for r in rules.scan(df, "t", (*rules.ENGLISH, *rules.LOCALISED), "id").collect()}
     assert found == {(1, "Credential pressure"), (2, "Credential pressure")}
+
+
+def test_pii_takes_any_white_space_between_groups(spark):
+    text = F.lit("id 2341\n2341\n2346 call 98765\t43210")
+    assert one(spark, pii.mask(text))[0] == "id [AADHAAR REDACTED] call [PHONE REDACTED]"
