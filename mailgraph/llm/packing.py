@@ -35,7 +35,7 @@ VOCABULARY = "word_bpe_49k.json"
 GROUP = 20_000
 STEP = 64
 #: distinct words a worker remembers
-REMEMBERED = 600_000
+REMEMBERED = 800_000
 #: fixed values: how the vocabulary's pre-tokenizer cuts plain ASCII words, once lower-cased
 ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 PLAIN = re.compile(r"[!-;=-~]+")
@@ -86,8 +86,6 @@ class Encoder:
         return out
 
     def _learn(self, found: words.Words, hashes: np.ndarray, where: np.ndarray) -> None:
-        if len(self.keys) + len(hashes) > REMEMBERED:
-            self._clear()
         lists = self._encode([found.text(i) for i in where])
         lengths = np.fromiter((len(x) for x in lists), dtype=np.int64, count=len(lists))
         known = len(self.begins) - 1
@@ -97,31 +95,41 @@ class Encoder:
         order = np.argsort(keys, kind="stable")
         self.keys, self.slots = keys[order], slots[order]
 
+    def spell(self, found: words.Words, distinct: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the distinct words one after another, how many each has); ``where`` is a place of each in ``found``."""
+        if not len(distinct):
+            return np.zeros(0, np.uint16), np.zeros(0, np.int64)
+        at = np.searchsorted(self.keys, distinct)
+        new = np.ones(len(distinct), dtype=bool)
+        inside = at < len(self.keys)
+        new[inside] = self.keys[at[inside]] != distinct[inside]
+        if len(self.keys) + int(new.sum()) > REMEMBERED:
+            self._clear()
+            new[:] = True
+        if new.any():
+            self._learn(found, distinct[new], where[new])
+        slots = self.slots[np.searchsorted(self.keys, distinct)]
+        return _gather(self.ids, self.begins[slots], self.begins[slots + 1] - self.begins[slots])
+
+    def encode_found(self, found: words.Words, unique: tuple[np.ndarray, ...] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, where each word's ids begin and the total); ``unique`` is what np.unique gives for the hashes, if known."""
+        distinct, where, back = unique or np.unique(found.hash, return_index=True, return_inverse=True)
+        flat, lengths = self.spell(found, distinct, where)
+        ids, own = _gather(flat, (np.cumsum(lengths) - lengths)[back], lengths[back])
+        return ids, np.concatenate([[0], np.cumsum(own)]).astype(np.int64)
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text's ids begin and the total at the end)."""
-        ids, ends, first = self.encode_words(texts)
-        return ids, ends[first]
-
-    def encode_words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids of all texts, where each word's ids begin and the total, where each text's words begin and their number)."""
         found = words.split(texts)
-        distinct, where, back = np.unique(found.hash, return_index=True, return_inverse=True)
-        if len(distinct):
-            at = np.searchsorted(self.keys, distinct)
-            new = np.ones(len(distinct), dtype=bool)
-            inside = at < len(self.keys)
-            new[inside] = self.keys[at[inside]] != distinct[inside]
-            if len(self.keys) + int(new.sum()) > REMEMBERED:
-                self._clear()
-                new[:] = True
-            if new.any():
-                self._learn(found, distinct[new], where[new])
-        slots = self.slots[np.searchsorted(self.keys, distinct)][back] if len(distinct) else np.zeros(0, np.int64)
-        begins, lengths = self.begins[slots], self.begins[slots + 1] - self.begins[slots]
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.ids[np.repeat(begins - (ends - lengths), lengths) + np.arange(total)]
-        return ids, np.concatenate([[0], ends]).astype(np.int64), found.first()
+        ids, ends = self.encode_found(found)
+        return ids, ends[found.first()]
+
+
+def _gather(values: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ``values`` that start at ``begins``, one after another, and their lengths."""
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    return values[np.repeat(begins - (ends - lengths), lengths) + np.arange(total)], lengths
 
 
 _ENCODERS: dict[str, Encoder] = {}
