@@ -14,7 +14,7 @@ from mailgraph.plans import registry  # noqa: E402
 from mailgraph.session import build  # noqa: E402
 
 HEADLINE = (
-    "A01_dedup_removed_by_source", "J16_leakage_report", "P13_indicators", "J04_links", "J08_history", "W06_recurrence", "J05_near_duplicates",
+    "A01_dedup_removed_by_source", "J16_leakage_report", "P13_indicators", "J04_links", "J08_history", "W06_recurrence", "J05_near_duplicates", "A05_campaigns",
     "A06_graph_edges", "J03_cidr_ranges", "U03_reply_domain_changed", "W04_verify_chain", "A08_ledger",
     "R01_rule_scan", "A04_scores", "R05_five_classes", "R02_instruction_findings", "A23_email_census", "A24_attribution", "A19_auc",
     "A20_latency", "W07_rolling_rate", "X07_sliding_sessions",

@@ -56,8 +56,9 @@ def stream_ledger(t):
 
     state.ledger(rows, 90 * 86400).writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/state").outputMode(
         "update").trigger(availableNow=True).start().awaitTermination()
-    kept = t.spark.read.parquet(f"{folder}/out").filter("NOT expired")
-    latest = kept.groupBy("h", "kind").agg(F.max_by(F.struct("first_seen", "last_seen", "seen_count"), "seen_count").alias("e"))
+    # the last batch that touched an entry holds its state: one that expired and came back counts anew
+    latest = t.spark.read.parquet(f"{folder}/out").groupBy("h", "kind").agg(
+        F.max_by(F.struct("first_seen", "last_seen", "seen_count", "expired"), F.struct("batch", ~F.col("expired"))).alias("e")).filter("NOT e.expired")
     return latest.select("h", "kind", F.unix_micros("e.first_seen").alias("first_us"), F.unix_micros("e.last_seen").alias("last_us"), "e.seen_count")
 
 
