@@ -53,9 +53,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.pieces: dict[str, list[int]] = {}
-        self._clear()
+        self.forget()
 
-    def _clear(self) -> None:
+    def forget(self) -> None:
         self.keys = np.zeros(0, dtype=np.uint64)   # sorted hashes of known words
         self.slots = np.zeros(0, dtype=np.int64)   # their places in begins
         self.begins = np.zeros(1, dtype=np.int64)  # where each word's ids begin
@@ -104,7 +104,7 @@ class Encoder:
         inside = at < len(self.keys)
         new[inside] = self.keys[at[inside]] != distinct[inside]
         if len(self.keys) + int(new.sum()) > REMEMBERED:
-            self._clear()
+            self.forget()
             new[:] = True
         if new.any():
             self._learn(found, distinct[new], where[new])
@@ -174,6 +174,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long
                     [part.column("doc_id").take(taken), part.column("_row").take(taken), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()),
                      pa.array(sums, pa.int64()), pa.array(totals, pa.int64())],
                     names=["doc_id", "_row", "start", "length", "ids_crc32", "doc_tokens"])
+        coder.forget()  # a worker that goes on to other stages keeps no words
 
     return docs.select(
         F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("_row")).mapInArrow(run, schema)

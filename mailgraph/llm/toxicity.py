@@ -8,7 +8,7 @@ is its length under the ordinary dictionary minus its length under the toxic one
 positive advantages over distinct windows, and the cut between the classes is calibrated on the sample.
 
 Scores are a logistic function of distance minus cut. Texts without letters (null, empty) have distance 0. Without labelled rows
-of both kinds, or without telling pieces, every score is 0. Windows are remembered per Python worker in a bounded table; nothing is
+of both kinds, or without telling pieces, every score is 0. Windows are remembered per task in a bounded table; nothing is
 shuffled but the sample. Repeated rows get equal results; labels, ids, languages and sources are never inputs of a score.
 """
 
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -37,7 +38,7 @@ MINED_BYTES = 8192
 #: advantage from which an ordinary window is hard
 HARD = 4
 LETTERS = re.compile(r"[^\W\d_]+")
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 WIDTH = 4
 #: a clean text called toxic counts as so many missed toxic ones
 CLEAN_WEIGHT = 4
@@ -137,8 +138,8 @@ def fit(sample: list[tuple[int, frozenset[str]]]) -> Model | None:
     marks = sorted(excess, key=lambda p: (excess[p], p))
     common = sorted(held[0], key=lambda p: (held[0][p], p))
     shuffle = np.random.default_rng(11).permutation
-    toxic = [p.encode() for p in marks for _ in range(min(held[1][p], 30))]
-    ordinary = [p.encode() for p in common if len(p) >= 4 for _ in range(min(held[0][p], 20))]
+    toxic = [e for p in marks for e in [p.encode()] * min(held[1][p], 30)]
+    ordinary = [e for p in common if len(p) >= 4 for e in [p.encode()] * min(held[0][p], 20)]
     ordinary = [ordinary[i] for i in shuffle(len(ordinary))[:400_000]]
     model = Model(
         _dictionary(TOXIC_BYTES, [toxic[i] for i in shuffle(len(toxic))], [p.encode() for p in marks]),
@@ -180,20 +181,27 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
-    return fit([(row["toxic"], frozenset(row["words"])) for row in training_rows(docs, labels, sample).collect()])
+    rows = training_rows(docs, labels, sample).toLocalIterator()  # words of different texts share their strings
+    return fit([(row["toxic"], frozenset(map(sys.intern, row["words"]))) for row in rows])
 
 
 _SCORERS: dict[Model, Scorer] = {}
 
 
 def _scorer(model: Model) -> Scorer:
-    """One scorer per worker and model, so windows are remembered across batches and tasks."""
+    """One scorer per worker and model, so windows are remembered across the batches of a task."""
     if model not in _SCORERS:
         _SCORERS.clear()
         _SCORERS[model] = Scorer(model)
     return _SCORERS[model]
 
 
+def _forget() -> None:
+    """Empties the table of windows at the end of a task: a worker that goes on to other stages keeps none of it."""
+    for scorer in _SCORERS.values():
+        scorer.known.clear()
+
+
 def _scores(model: Model | None, texts: pa.Array) -> list[float]:
     if model is None:
         return [0.0] * len(texts)
@@ -206,6 +214,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_scores(model, batch.column("text")), pa.float64())], names=["doc_id", "score"])
+        _forget()
 
     kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -219,6 +228,7 @@ def drop_toxic(docs: DataFrame, model: Model | None, text_col: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array([s < 0.5 for s in _scores(model, batch.column(batch.schema.names.index(text_col)))], pa.bool_()))
+        _forget()
 
     return docs.mapInArrow(run, docs.schema)
 
