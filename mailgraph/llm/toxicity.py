@@ -181,8 +181,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
-    rows = training_rows(docs, labels, sample).toLocalIterator()  # words of different texts share their strings
-    return fit([(row["toxic"], frozenset(map(sys.intern, row["words"]))) for row in rows])
+    rows, texts = training_rows(docs, labels, sample).collect(), []  # at most 2 * sample rows
+    while rows:  # words of different texts share their strings
+        row = rows.pop()
+        texts.append((row["toxic"], frozenset(map(sys.intern, row["words"]))))
+    return fit(texts)
 
 
 _SCORERS: dict[Model, Scorer] = {}
