@@ -208,9 +208,15 @@ def _whole_windows(found: DataFrame, window: int) -> DataFrame:
                     starts.append(start)
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(ids, pa.int64()), pa.array(starts, pa.int32())], names=["digest", "doc_id", "start"])
 
-    each = lineage.cut(found.mapInArrow(run, "digest binary, doc_id long, start int"))
+    # equal passages first: all but the smallest id lose them whole, and only that one's windows go on
+    passages = found.withColumn("whole", F.unhex(F.sha2("passage", 256)))
+    owner = passages.groupBy("whole").agg(F.min("doc_id").alias("owner"))
+    owned = lineage.cut(passages.join(owner, "whole"))
+    later = owned.filter("doc_id > owner").select("doc_id", "low", (F.col("high") + window).alias("high"))
+    each = lineage.cut(owned.filter("doc_id = owner").drop("whole", "owner").mapInArrow(run, "digest binary, doc_id long, start int"))
     least = each.groupBy("digest").agg(F.min("doc_id").alias("least"))
-    return each.join(least, "digest").filter("doc_id > least").select("doc_id", F.col("start").alias("low"), (F.col("start") + window).alias("high"))
+    single = each.join(least, "digest").filter("doc_id > least").select("doc_id", F.col("start").alias("low"), (F.col("start") + window).alias("high"))
+    return later.unionByName(single)
 
 
 def _apply(texts: DataFrame, window: int) -> DataFrame:
