@@ -298,6 +298,18 @@ def test_lm_scores(spark, odd, none, texts):
     assert lm.score(odd).count() == odd.count() and lm.score(none).count() == 0
 
 
+def test_every_training_text_reaches_the_weights(spark):
+    classes = lm.Classes(np.ones(lm.VOCABULARY), np.ones(lm.VOCABULARY), lm._word_ends())
+    begin = attention.pack(attention.start(classes.shares))
+    key = F.pmod(F.xxhash64(F.lit("train"), F.col("doc_id").cast("string")), F.lit(16))
+    ids = [r.doc_id for r in spark.range(200).withColumnRenamed("id", "doc_id").filter((key > 1) & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2))
+           .withColumn("part", key).dropDuplicates(["part"]).collect()]
+    assert len(ids) == 14
+    for i in ids[:4]:
+        one = spark.createDataFrame([(i, "some words to learn from, once")], "doc_id long, text string")
+        assert not np.array_equal(lm.fit(lm.blocks(one, "doc_id", "text", 1), classes), begin)
+
+
 def test_attention_beats_the_unigram_on_held_out_texts(spark):
     got = registry.queries()["op9_lm_scores"](spark, "/root/testdata/sf0.01").filter("held_out")
     base, model = got.agg(F.sum("base_score"), F.sum("score")).first()
