@@ -34,6 +34,12 @@ def pii_census(t):
     return K.pii_census(t.planted.select("source", "note"), "note", "source")
 
 
+@query("A23_pii_census_texts")
+def pii_census_texts(t):
+    """The census over whole texts; SQL cannot say the Unicode borders and check digits, so tests compare with brute force."""
+    return K.pii_census(t.planted.select("source", "text"), "text", "source")
+
+
 @query("A23_email_census", f"""
     SELECT source, sum(len(regexp_extract_all(body, '{EMAIL}')))::BIGINT AS email FROM v_message GROUP BY source""")
 def email_census(t):
@@ -48,11 +54,17 @@ def masked_export(t):
     return K.masked(t.planted.select("msg_id", "note"), "note")
 
 
+@query("F17_masked_texts")
+def masked_texts(t):
+    """The masks over whole texts; compared with brute force in tests."""
+    return K.masked(t.planted.select("msg_id", "text"), "text")
+
+
 @query("F18_check_digit", """
     SELECT msg_id, msg_id % 6 = 0 AS valid FROM v_planted WHERE msg_id % 6 IN (0, 1)""")
 def check_digit(t):
-    digits = F.regexp_replace(F.regexp_extract("note", pii.ID12, 0), "[^0-9]", "")
-    return t.planted.select("msg_id", digits.alias("d")).filter("length(d) = 12").select("msg_id", pii.verhoeff_valid(F.col("d")).alias("valid"))
+    found = t.planted.select("msg_id", F.explode(F.regexp_extract_all("text", F.lit(pii.ID12), F.lit(0))).alias("m"))
+    return found.select("msg_id", F.regexp_replace("m", "[^0-9]", "").alias("d")).filter("length(d) = 12").select("msg_id", pii.verhoeff_valid(F.col("d")).alias("valid"))
 
 
 @query("A28_payment_tokens", """
@@ -197,6 +209,12 @@ def evasion_delta(t):
     return K.evasion(obfuscated, "note", secret_score, 40.0, "msg_id")
 
 
+@query("R10_evasion_texts")
+def evasion_texts(t):
+    """Whole texts with any look-alikes, not only the planted spellings; compared with brute force in tests."""
+    return K.evasion(t.planted, "text", secret_score, 40.0, "msg_id")
+
+
 @query("R15_header_consistency", """
     SELECT msg_id, 'Duplicate message-id' AS title FROM v_message WHERE message_id IS NOT NULL AND lang = 'de'
     UNION ALL SELECT msg_id, 'Malformed Message-ID' FROM v_message WHERE message_id IS NOT NULL AND lang = 'fr'
