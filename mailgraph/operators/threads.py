@@ -46,24 +46,25 @@ def thread_partners(tokens: DataFrame, chosen: DataFrame) -> DataFrame:
     return met.select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
 
 
-def changed_in_thread(tokens: DataFrame, values: DataFrame) -> DataFrame:
-    """(msg_id, value) not seen earlier in the message's threads although another value was.
+def changed_in_thread(tokens: DataFrame, values: DataFrame, *kinds: str) -> DataFrame:
+    """(msg_id, *kinds, value) not seen earlier in the message's threads although another value was.
 
-    ``values`` holds (msg_id, value). For each token only the first time of every value and of any value is needed, so
+    ``values`` holds (msg_id, *kinds, value); values of different kinds never answer each other. For each token only the first time of every value and of any value is needed, so
     the work is linear in the rows however long a thread is.
     """
     held = tokens.join(values, "msg_id")
     when = lambda role: F.min(F.when(F.col("role") == role, F.col("at")))
-    per_value = held.groupBy("token", "value").agg(when("ref").alias("ref_first"), when("own").alias("own_first"))
-    per_token = per_value.groupBy("token").agg(F.min("ref_first").alias("ref_any"), F.min("own_first").alias("own_any"))
+    per_value = held.groupBy("token", *kinds, "value").agg(when("ref").alias("ref_first"), when("own").alias("own_first"))
+    per_token = per_value.groupBy("token", *kinds).agg(F.min("ref_first").alias("ref_any"), F.min("own_first").alias("own_any"))
     # An owner meets holders only; a holder meets both.
     earlier = lambda ref, own: (
         F.coalesce(F.col(ref) < F.col("at"), F.lit(False))
         | ((F.col("role") == "ref") & F.coalesce(F.col(own) < F.col("at"), F.lit(False))))
-    seen = held.join(per_value, ["token", "value"]).join(per_token, "token").groupBy("msg_id", "value").agg(
+    seen = held.join(per_value, ["token", *kinds, "value"]).join(per_token, ["token", *kinds]).groupBy("msg_id", *kinds, "value").agg(
         F.bool_or(earlier("ref_first", "own_first")).alias("seen"))
-    any_before = tokens.join(per_token, "token").groupBy("msg_id").agg(F.bool_or(earlier("ref_any", "own_any")).alias("prior"))
-    return seen.filter(~F.col("seen")).join(any_before.filter("prior").select("msg_id"), "msg_id", "left_semi").select("msg_id", "value")
+    any_before = tokens.join(per_token, "token").groupBy("msg_id", *kinds).agg(F.bool_or(earlier("ref_any", "own_any")).alias("prior"))
+    keys = ["msg_id", *kinds]
+    return seen.filter(~F.col("seen")).join(any_before.filter("prior").select(*keys), keys, "left_semi").select(*keys, "value")
 
 
 # ---- relay paths: a message's hops are few, so plain windows per message are safe -------------------------------

@@ -81,8 +81,9 @@ def payment_tokens(t):
     SELECT c.msg_id, any_value(c.value) AS value FROM v c JOIN mate m ON m.me = c.msg_id JOIN v p ON p.msg_id = m.other AND p.created < c.created
     GROUP BY c.msg_id HAVING NOT bool_or(p.value = c.value)""")
 def payment_change(t):
-    values = K.payment_profile(t.planted, "text", "msg_id").select("msg_id", F.explode("upi").alias("value"))
-    return TH.changed_in_thread(TH.thread_tokens(t.message), values)
+    of = lambda kind: F.transform(kind, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+    values = K.payment_profile(t.planted, "text", "msg_id").select("msg_id", F.explode(F.concat(of("upi"), of("account"))).alias("v")).select("msg_id", "v.*")
+    return TH.changed_in_thread(TH.thread_tokens(t.message), values, "kind").select("msg_id", "value")
 
 
 @query("F05_subject_key", """

@@ -1,9 +1,8 @@
-from types import SimpleNamespace
-
 import itertools
 import math
 import random
 from collections import Counter
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -388,3 +387,13 @@ def test_content_queries_read_whole_texts(spark):
     assert masked[1] == "ids [AADHAAR REDACTED] and 2341-2341-2345, mail a***@corp.example" and masked[5] is None
     assert masked[2] == "pan [PAN REDACTED], call [PHONE REDACTED] or pay [UPI REDACTED]" and masked[3] == rows[2][2]
     assert sorted((x.msg_id, x.raw_score, x.normalised_score, x.flagged) for x in C.evasion_texts(t).collect()) == [(3, 0.0, 45.0, True), (4, 45.0, 45.0, False)]
+
+
+def test_payment_change_follows_accounts(spark):
+    from mailgraph.plans.catalog import content as C
+    rows = [(1, "<a@x>", None, "account no 123456789"), (2, "<b@x>", "<a@x>", "account no 987654321"), (3, "<c@x>", "<b@x>", "account no 987654321 or uu@ybl"),
+            (4, "<d@x>", "<c@x>", "pay ww@ybl"), (5, "<e@x>", "<z@x>", "account no 555555555")]
+    m = spark.createDataFrame(rows, "msg_id long, message_id string, in_reply_to string, text string").selectExpr(
+        "*", "timestamp_seconds(msg_id) AS created", "'u@x' AS sender", "'-' AS subject")
+    got = C.payment_change(SimpleNamespace(planted=m, message=m))
+    assert got.columns == ["msg_id", "value"] and sorted(map(tuple, got.collect())) == [(2, "987654321"), (4, "ww@ybl")]
