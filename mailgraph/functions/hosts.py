@@ -164,11 +164,11 @@ def url_reasons(url: Column, shown: Column) -> Column:
     query = F.regexp_extract(url, "^[^?#]*\\?([^#]*)", 1)
     path = F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
     shown_host = url_host(F.regexp_extract(F.coalesce(shown, F.lit("")), "https?://[^ <>]+", 0))
-    target = _unescape_twice(F.regexp_extract(query, f"(?i)(?:^|&)(?:{TARGET_KEYS})=([^&]*)", 1))
-    target_host = F.lower(F.regexp_replace(F.regexp_replace(
-        F.regexp_extract(target, "^(?:https?:)?//([^/?#]*)", 1), "^.*@", ""), ":[0-9]*$", ""))
-    leaves = (target_host != "") & (target_host != host)
-    same_base = registrable(target_host) == registrable(host)
+    named = F.regexp_extract_all(query, F.lit(f"(?i)(?:^|&)(?:{TARGET_KEYS})=([^&]+)"), F.lit(1))
+    targets = F.transform(named, lambda v: F.regexp_extract(_unescape_twice(v), "^(?:https?:)?//([^/?#]*)", 1))
+    target_host = lambda t: F.lower(F.regexp_replace(F.regexp_replace(t, "^.*@", ""), ":[0-9]*$", ""))
+    leaving = F.filter(targets, lambda t: (target_host(t) != "") & (target_host(t) != host))
+    same_base = lambda t: registrable(target_host(t)) == registrable(host)
     depth = F.size(F.split(host, "\\.")) - F.size(F.split(registrable(host), "\\."))
 
     def when(condition: Column, reason: str) -> Column:
@@ -179,9 +179,9 @@ def url_reasons(url: Column, shown: Column) -> Column:
         when(url.contains("\\"), "Backslash can produce inconsistent URL interpretation"),
         when(url.rlike("[\\x00-\\x1F\\x7F]"), "Control characters in URL"),
         when(host.rlike("^[0-9]+$|^0x[0-9a-f]+$"), "Numeric host representation requires review"),
-        when(leaves & same_base, "Redirect remains within registrable domain"),
-        when(leaves & ~same_base, "Redirect parameter points to another host"),
-        when(leaves & target.rlike("^(?:https?:)?//[^/?#]*@"), "Redirect target contains user information"),
+        when(F.exists(leaving, same_base), "Redirect remains within registrable domain"),
+        when(F.exists(leaving, lambda t: ~same_base(t)), "Redirect parameter points to another host"),
+        when(F.exists(leaving, lambda t: t.contains("@")), "Redirect target contains user information"),
         when(~is_hostname(host) & ~host.contains(":"), "Malformed or invalid host encoding"),
         when(scheme == "http", "Unencrypted HTTP"),
         when(is_ipv4(host), "IP address used as host"),

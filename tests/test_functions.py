@@ -58,6 +58,16 @@ def test_url_reasons(spark):
     assert score("https://a.com/")[1] == 0
 
 
+def test_every_redirect_target_counts(spark):
+    def reasons(url):
+        return one(spark, hosts.url_reasons(F.lit(url), F.lit("")).alias("r")).r
+    other, within, user = "Redirect parameter points to another host", "Redirect remains within registrable domain", "Redirect target contains user information"
+    assert other in reasons("https://a.com/?url=https://a.com/&next=https://evil.test/")
+    assert other in reasons("https://a.com/?url=https://a.com/&url=https%3A%2F%2Fevil.test%2F")
+    assert {other, within, user} <= set(reasons("https://a.com/?x=1&dest=https://b.a.com/&target=https://a.com/&next=//u@evil.test/"))
+    assert not {other, within, user} & set(reasons("https://a.com/?url=&next=https://a.com/&q=https://evil.test/"))
+
+
 def test_hmac_matches_python(spark):
     for key in (b"", b"k" * 10, b"long" * 30):
         want = hmac.new(key, "url\0https://é".encode(), hashlib.sha256).hexdigest()
