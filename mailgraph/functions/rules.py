@@ -130,6 +130,9 @@ DOCUMENT_RULES = (
     Rule("symbols", "manipulation", "Symbol run", (r"[#$%&*!]{3}",), 15, ""),
 )
 
+#: what the evidence of a message scans: document shapes and the wording of pressure, payment and instructions to automated readers
+EVIDENCE_RULES = (*DOCUMENT_RULES, *ENGLISH, *LOCALISED, *INSTRUCTIONS)
+
 
 def _hit(text: Column, rule: Rule) -> Column:
     """First match of the first matching pattern, NULL when none matches."""

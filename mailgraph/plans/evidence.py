@@ -16,7 +16,7 @@ from mailgraph.operators import scoring as S
 class Evidence:
     """Lazy frames; each is one declarative plan, so a query that needs only scores never reads the link reasons twice."""
 
-    def __init__(self, tables, scan_rules=rules.DOCUMENT_RULES):
+    def __init__(self, tables, scan_rules=rules.EVIDENCE_RULES):
         self.t, self.rules = tables, scan_rules
 
     @cached_property
