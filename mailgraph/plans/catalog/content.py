@@ -36,7 +36,7 @@ def pii_census(t):
 
 @query("A23_pii_census_texts")
 def pii_census_texts(t):
-    """The census over whole texts; SQL cannot say the Unicode borders and check digits, so tests compare with brute force."""
+    """The census over whole texts; SQL cannot say the Unicode borders and check digits, so tests hold worked examples."""
     return K.pii_census(t.planted.select("source", "text"), "text", "source")
 
 
@@ -56,7 +56,7 @@ def masked_export(t):
 
 @query("F17_masked_texts")
 def masked_texts(t):
-    """The masks over whole texts; compared with brute force in tests."""
+    """The masks over whole texts; worked examples in tests."""
     return K.masked(t.planted.select("msg_id", "text"), "text")
 
 
@@ -212,7 +212,7 @@ def evasion_delta(t):
 
 @query("R10_evasion_texts")
 def evasion_texts(t):
-    """Whole texts with any look-alikes, not only the planted spellings; compared with brute force in tests."""
+    """Whole texts with any look-alikes, not only the planted spellings; worked examples in tests."""
     return K.evasion(t.planted, "text", secret_score, 40.0, "msg_id")
 
 
