@@ -26,7 +26,7 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 
 def _load() -> None:
     from mailgraph.llm import (  # noqa: F401  (register on import)
-        exact_dedup, lm, mixing, near_dedup, packing, pii, quality, substring_dedup, token_counts, toxicity,
+        decontamination, exact_dedup, fill_middle, lm, mixing, near_dedup, packing, pii, quality, ranked_search, substring_dedup, token_counts, toxicity,
     )
 
 

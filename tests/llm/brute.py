@@ -1,6 +1,7 @@
 """Plain Python versions of what the operators return."""
 
 import hashlib
+import math
 import re
 import string
 from collections import Counter
@@ -85,3 +86,73 @@ def without_repeats(rows, window=50):
         gone = {j for k in range(len(w) - window + 1) if least[tuple(w[k:k + window])] < i for j in range(k, k + window)}
         out[i] = (len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone))
     return out
+
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def terms(text):
+    return TERM.findall((text or "").translate(LOWER))
+
+
+def ranked(rows, items, k=10):
+    """(item, rank, doc_id, score) by scoring every document for every item."""
+    lists = [(i, terms(t)) for i, t in rows]
+    lists = [(i, Counter(t), len(t)) for i, t in lists if t]
+    count, length = len(lists), sum(n for *_, n in lists)
+    df = Counter(t for _, own, _ in lists for t in own)
+    wanted = {}
+    for item, text in items:
+        wanted.setdefault(item, set()).update(terms(text))
+    out = []
+    for item, own in wanted.items():
+        scored = []
+        for i, tf, n in lists:
+            m = 100 - 90 + (90 * n * count) // length
+            score = sum(math.floor(1000 * math.log((2 * count + 2) / (2 * df[t] + 1))) * ((10 ** 9 * tf[t]) // (1000 * tf[t] + 8 * m)) for t in own if t in tf)
+            if score > 0:
+                scored.append((-score, i is None, i))
+        out += [(item, r, i, -s) for r, (s, _, i) in enumerate(sorted(scored, key=lambda x: (x[0], x[1], x[2] or 0))[:k], 1)]
+    return out
+
+
+PLAIN = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def leaks(rows, items, window=10):
+    """(doc_id, words, words hit, sorted item ids) of every row."""
+    windows = set()
+    for item, text in items:
+        w = PLAIN.findall((text or "").translate(LOWER))
+        windows |= {(item or "", tuple(w[k:k + window])) for k in range(max(len(w) - window + 1, 1)) if w}
+    by_start = {}
+    for item, w in windows:
+        by_start.setdefault(w[0], []).append((str(item), w))
+    out = []
+    for i, text in rows:
+        w = PLAIN.findall((text or "").translate(LOWER))
+        hit, names = set(), set()
+        for k, word in enumerate(w):
+            for item, own in by_start.get(word, ()):
+                if tuple(w[k:k + len(own)]) == own:
+                    hit |= set(range(k, k + len(own)))
+                    names.add(item)
+        out.append((i, len(w), len(hit), sorted(names)))
+    return out
+
+
+UNIT = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
+
+
+def middle(i, text):
+    """(n, form, prefix length, middle length, output)."""
+    text = text or ""
+    units = UNIT.findall(text)
+    h = sha(f"42:{'' if i is None else i}")
+    a, b, c, d = (int(h[k:k + 8], 16) for k in range(0, 32, 8))
+    low, high = sorted((a % (len(units) + 1), b % (len(units) + 1)))
+    if not text or any(m in text for m in ("<P>", "<S>", "<M>")) or c % 100 >= 50:
+        return len(units), "plain", None, None, text
+    p, m, s = "".join(units[:low]), "".join(units[low:high]), "".join(units[high:])
+    form = "spm" if d % 100 < 80 else "psm"
+    return len(units), form, len(p), len(m), f"<S>{s}<P>{p}<M>{m}" if form == "spm" else f"<P>{p}<S>{s}<M>{m}"
