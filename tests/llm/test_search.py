@@ -31,7 +31,7 @@ def test_search_equals_scoring_everything(spark, odd, items):
 
 
 def test_search_in_slices_and_with_string_ids(spark, odd, items, monkeypatch):
-    monkeypatch.setattr(ranked_search, "SLICE_BYTES", 100)
+    monkeypatch.setattr(ranked_search, "SLICE_BYTES", 60_000)
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     want = brute.ranked(rows, [(r.item_id, r.text) for r in items.collect()], k=3)
     assert found(ranked_search.search(odd, items, k=3)) == sorted(want, key=str)
