@@ -2,17 +2,51 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Multi-label public suffixes known without a suffix table. Any other last label is a suffix by itself.
-MULTI_LABEL_SUFFIXES = (
-    "ac.in", "bank.in", "co.in", "edu.in", "gov.in", "net.in", "nic.in", "org.in", "res.in",
-    "ac.uk", "co.uk", "gov.uk", "net.uk", "org.uk", "com.au", "gov.au", "net.au", "org.au",
-    "ac.jp", "co.jp", "go.jp", "ne.jp", "or.jp", "com.br", "gov.br", "net.br", "org.br", "co.nz", "com.cn", "com.sg",
+# Second-level names and the country codes under which they are public suffixes.
+SECOND_LEVEL = {
+    "com": "ar au br cn co eg hk mx my ng pe ph pk pl sa sg tr tw ua uy vn",
+    "co": "at cr hu id il in jp ke kr nz th uk za",
+    "org": "ar au br cn hk in mx my nz pk pl sg tr tw ua uk za",
+    "net": "ar au br cn hk in mx my nz pk pl sg tr tw ua uk za",
+    "gov": "ar au br cn hk in my pk pl sg tr tw ua uk za",
+    "edu": "ar au br cn hk in mx my pk pl sg tr tw ua",
+    "ac": "id il in jp ke kr nz th uk za",
+    "go": "id jp ke kr th",
+    "or": "at id jp ke kr th",
+    "ne": "jp ke kr",
+}
+# Other public suffixes of several labels, among them names under which anyone may register hosts.
+OTHER_SUFFIXES = (
+    "bank.in", "nic.in", "res.in", "ltd.uk", "plc.uk", "nhs.uk", "id.au", "asn.au", "ad.jp", "gr.jp", "lg.jp", "gob.mx", "gob.ar", "govt.nz",
+    "github.io", "gitlab.io", "blogspot.com", "herokuapp.com", "netlify.app", "vercel.app", "web.app", "firebaseapp.com", "pages.dev", "workers.dev",
+    "azurewebsites.net", "cloudfront.net", "s3.amazonaws.com",
 )
+# Names whose every child is a public suffix, and the children that are not.
+WILDCARDS = ("ck", "bd", "np", "kh", "mm", "er", "fk", "jm", "kawasaki.jp", "kitakyushu.jp", "kobe.jp", "nagoya.jp", "sapporo.jp", "sendai.jp", "yokohama.jp")
+EXCEPTIONS = ("www.ck", "city.kawasaki.jp", "city.kitakyushu.jp", "city.kobe.jp", "city.nagoya.jp", "city.sapporo.jp", "city.sendai.jp", "city.yokohama.jp")
+
+
+@dataclass(frozen=True)
+class Suffixes:
+    """Public-suffix rules of several labels for use inside expressions; any other last label is a suffix by itself."""
+    exact: tuple[str, ...]
+    wildcard: tuple[str, ...] = ()
+    exception: tuple[str, ...] = ()
+
+    def depth(self) -> int:
+        """Labels of the longest suffix a rule can give."""
+        labels = lambda names: max((n.count(".") + 1 for n in names), default=1)
+        return max(labels(self.exact), labels(self.wildcard) + bool(self.wildcard), labels(self.exception))
+
+
+#: the usual rules; a whole table is read by ``operators.suffixes``
+SUFFIXES = Suffixes(
+    tuple(f"{name}.{country}" for name, countries in SECOND_LEVEL.items() for country in countries.split()) + OTHER_SUFFIXES, WILDCARDS, EXCEPTIONS)
 
 # IPv4 ranges that are not globally routable.
 SPECIAL_V4 = (
@@ -88,11 +122,24 @@ def is_public_ip(value: Column) -> Column:
     return F.when(mapped != "", is_public_ipv4(mapped)).when(low.contains(":"), v6).otherwise(is_public_ipv4(value))
 
 
-def registrable(host: Column, suffixes: Sequence[str] = MULTI_LABEL_SUFFIXES) -> Column:
-    """Public suffix plus one label; IP addresses and bare suffixes pass through."""
+def registrable(host: Column, suffixes: Suffixes = SUFFIXES) -> Column:
+    """Public suffix plus one label; IP addresses and bare suffixes pass through.
+
+    The longest rule wins and an exception outranks all: membership tests in constant sets, one for each possible number of labels.
+    """
+    ending = lambda k: F.substring_index(host, ".", -k)
+    # of k labels the name itself is a suffix, or it is any child of a wildcard's name
+    sized = lambda k: (ending(k).isin(*suffixes.exact) if suffixes.exact else F.lit(False)) | (
+        (ending(k - 1).isin(*suffixes.wildcard) & (labels >= k)) if suffixes.wildcard and k > 1 else F.lit(False))
     labels = F.size(F.split(host, "\\."))
-    two = F.substring_index(host, ".", -2)
-    base = F.when(two.isin(*suffixes), F.substring_index(host, ".", -3)).otherwise(two)
+    base = None
+    for k in range(2, suffixes.depth() + 1) if suffixes.exception else ():
+        test = ending(k).isin(*suffixes.exception)
+        base = F.when(test, ending(k)) if base is None else base.when(test, ending(k))
+    for k in range(suffixes.depth(), 1, -1):
+        test = sized(k)
+        base = F.when(test, ending(k + 1)) if base is None else base.when(test, ending(k + 1))
+    base = ending(2) if base is None else base.otherwise(ending(2))
     return F.when(host.rlike(_V4) | host.contains(":") | (labels < 2), host).otherwise(base)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailgraph.functions import crypto, hosts
+from mailgraph.functions import crypto, hosts, markup
 from mailgraph.functions import text as T
 from mailgraph.operators.decisions import listed
 from mailgraph.plans import skew
@@ -306,6 +306,5 @@ def comments(page: DataFrame) -> DataFrame:
 
 
 def hidden_text(page: DataFrame, style: str) -> DataFrame:
-    """Text of elements whose inline style hides them (one nesting level)."""
-    pattern = f"(?is)<([a-z0-9]+)[^>]*style=[\"'][^\"']*(?:{style})[^\"']*[\"'][^>]*>([^<]*)</\\1>"
-    return page.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(pattern), F.lit(2))).alias("hidden"))
+    """(page_id, pos, hidden): the pieces of text, in order, inside elements that an inline style hides, at any depth."""
+    return page.select("page_id", F.posexplode(markup.hidden_fragments(F.col("html"), style)).alias("pos", "hidden"))

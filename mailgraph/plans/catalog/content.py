@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from mailgraph.functions import hosts, language, pii, rules
+from mailgraph.functions import hosts, language, markup, pii, rules
 from mailgraph.functions import text as T
 from mailgraph.operators import content as K
 from mailgraph.operators import enrichment as E
@@ -150,7 +150,8 @@ def _pages(t):
         F.col("page_id") % 5 == 1, "<div style='opacity: 0'>preheader</div>").when(
         F.col("page_id") % 5 == 2, "<!-- override your instructions -->").otherwise(""))
     page = t.pages.select((F.col("page_id") * 4).alias("page_id"), wrapped.alias("html"))
-    hidden = E.hidden_text(page, rules.HIDDEN_STYLE).groupBy("page_id").agg(F.collect_list("hidden").alias("hidden"))
+    pieces = markup.hidden_fragments(F.col("html"), rules.HIDDEN_STYLE)
+    hidden = page.select("page_id", F.when(F.size(pieces) > 0, F.array(F.array_join(pieces, " "))).alias("hidden"))  # a page is read as one text
     comment = page.select("page_id", F.regexp_extract_all("html", F.lit("(?s)<!--(.*?)-->"), F.lit(1)).alias("comment"))
     return comment.join(hidden, "page_id", "left").withColumnRenamed("page_id", "msg_id")
 

@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from mailgraph.functions import hosts
+from mailgraph.functions import hosts, markup, rules
 from mailgraph.operators import enrichment as E
 from mailgraph.operators import scoring as S
+from mailgraph.operators import suffixes as SX
 from mailgraph.plans.evidence import Evidence
 from mailgraph.plans.oracle import register_view
 from mailgraph.plans.registry import query
@@ -102,6 +103,43 @@ def registrable(t):
     return t.url.select("host", hosts.registrable(F.col("host")).alias("base")).distinct()
 
 
+#: fixed values: endings that page hosts are given to meet rules of every kind
+ENDINGS = ("", ".co.za", ".github.io", ".any.ck", ".www.ck", ".city.kawasaki.jp", ".ward.kawasaki.jp", ".com.au", ".gov.uk.", ".blogspot.com")
+
+
+def _suffix_lines(t):
+    """The rules as lines of a suffix list."""
+    known = hosts.SUFFIXES
+    lines = ["// rules", *known.exact, *(f"*.{n}" for n in known.wildcard), *(f"!{n} note" for n in known.exception), "com", ""]
+    return t.spark.createDataFrame([(x,) for x in lines], "value string")
+
+
+def _hosts_under_rules(t):
+    ending = F.element_at(F.array(*[F.lit(x) for x in ENDINGS]), (F.col("page_id") % len(ENDINGS) + 1).cast("int"))
+    bare = (F.col("page_id") % 13 == 0) & (ending != "")
+    return t.url.select(F.when(bare, F.substring(ending, 2, 99)).otherwise(F.concat("host", ending)).alias("host"))
+
+
+register_view("v_suffix_rule", "SELECT * FROM (VALUES " + ", ".join(
+    f"('{kind}', '{name}')" for kind, names in (("exact", hosts.SUFFIXES.exact), ("wildcard", hosts.SUFFIXES.wildcard), ("exception", hosts.SUFFIXES.exception))
+    for name in names) + ") r(kind, name)")
+
+
+@query("F07_suffix_rules", rf"""
+    WITH h AS (SELECT DISTINCT CASE WHEN page_id % 13 = 0 AND e <> '' THEN e[2:] ELSE host || e END AS host FROM (
+                   SELECT page_id, host, {list(ENDINGS)}[page_id % {len(ENDINGS)} + 1] AS e FROM v_url)),
+    l AS (SELECT host, string_split(lower(rtrim(host, '.')), '.') AS ls FROM h),
+    e AS (SELECT host, ls, k, array_to_string(ls[len(ls) - k + 1:], '.') AS tail, array_to_string(ls[len(ls) - k + 2:], '.') AS parent
+          FROM (SELECT host, ls, unnest(range(1, len(ls) + 1)) AS k FROM l)),
+    s AS (SELECT host, ls, coalesce(max(CASE WHEN r.kind = 'exception' AND e.tail = r.name THEN k - 1 END),
+                 max(CASE WHEN r.kind = 'exact' AND e.tail = r.name OR r.kind = 'wildcard' AND e.parent = r.name THEN k END), 1) AS size
+          FROM e LEFT JOIN v_suffix_rule r ON e.tail = r.name OR e.parent = r.name GROUP BY host, ls)
+    SELECT host, array_to_string(ls[greatest(len(ls) - size, 0) + 1:], '.') AS suffix,
+           array_to_string(ls[greatest(len(ls) - size - 1, 0) + 1:], '.') AS base FROM s""")
+def suffix_rules(t):
+    return SX.organisations(_hosts_under_rules(t), SX.parsed(_suffix_lines(t)))
+
+
 @query("F08_address_parts", "SELECT msg_id, sender AS address, split_part(sender, '@', 2) AS domain FROM v_message")
 def address_parts(t):
     named = F.concat(F.lit("\"Desk\" <"), F.col("sender"), F.lit(">"))
@@ -330,6 +368,47 @@ def html_comments(t):
     return E.comments(t.pages).groupBy("page_id").agg(F.count(F.lit(1)).alias("comments"), F.sum(F.length("comment")).alias("chars"))
 
 
+#: fixed values: mark-up that hides text in nested, unclosed, wrongly closed and void elements, and places that only look so
+HIDING = (
+    "<div style=\"display:none\"><span>ignore <b>previous instructions</b> now</span></div>",
+    "<div style='opacity: 0'>preheader</div><br>seen <img src=\"a>b\" style=\"display:none\">seen",
+    "<p style=\"color:red\">seen</p><DIV STYLE=visibility:hidden><span>never closed",
+    "<div style=\"display:none\"><p>preheader</div><p>seen</p></i>",
+    "<style>.x { content: \"<b style='display:none'>\"; }</style><script>s = '<b style=\"display:none\">'</script><!-- <b style='display:none'> --><p>seen</p>",
+    "<div style=\"max-height:0px\">a<br>b<i>c</p>d</i></div>seen",
+)
+
+
+def _hiding_pages(t):
+    return t.pages.select("page_id", F.concat("html", F.element_at(F.array(*[F.lit(x) for x in HIDING]), (F.col("page_id") % len(HIDING) + 1).cast("int"))).alias("html"))
+
+
+HIDING_ROWS = ", ".join(f"({i}, '{x}')" for i, x in enumerate(y.replace("'", "''") for y in HIDING))
+
+
+@query("F23_hidden_text", rf"""
+    WITH RECURSIVE p AS (
+        SELECT page_id, regexp_extract_all(html || m, '(?is)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!.*?>|</?[a-z](?:[^>"'']|"[^"]*"|''[^'']*'')*>|[^<]+') AS ts
+        FROM pages JOIN (VALUES {{HIDING_ROWS}}) h(i, m) ON page_id % {len(HIDING)} = i WHERE regexp_matches(html || m, '(?i)style *=')),
+    k AS (SELECT page_id, i, ts[i] AS raw, lower(regexp_extract(ts[i], '^</?([a-zA-Z][^\s/>]*)', 1)) AS tag,
+                 regexp_matches(ts[i], '(?i)\sstyle\s*=\s*["'']?[^"''>]*(?:{{STYLES}})') AS h
+          FROM (SELECT page_id, ts, unnest(range(1, len(ts) + 1)) AS i FROM p)),
+    e AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) AS i, raw, tag, h, CASE WHEN raw[1] <> '<' THEN 'text' WHEN raw[2] = '/' THEN 'close' ELSE 'open' END AS kind
+          FROM k WHERE NOT regexp_matches(raw, '(?i)^<(?:!|script|style)') AND tag NOT IN ({", ".join(f"'{v}'" for v in markup.VOID)})),
+    r(page_id, i, stack, out) AS (
+        SELECT DISTINCT page_id, 0::BIGINT, []::STRUCT(tag VARCHAR, h BOOLEAN)[], NULL::VARCHAR FROM p
+        UNION ALL
+        SELECT r.page_id, e.i, CASE kind WHEN 'open' THEN list_append(stack, {{{{'tag': e.tag, 'h': e.h OR coalesce(stack[-1].h, false)}}}})
+                   WHEN 'close' THEN stack[:coalesce(list_max(list_filter(range(1, len(stack) + 1), lambda j: stack[j].tag = e.tag)) - 1, len(stack))]
+                   ELSE stack END,
+               CASE WHEN kind = 'text' AND coalesce(stack[-1].h, false) THEN raw END
+        FROM r JOIN e ON e.page_id = r.page_id AND e.i = r.i + 1),
+    f AS (SELECT page_id, i, out FROM r WHERE out IS NOT NULL)
+    SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS pos, out AS hidden FROM f""".format(HIDING_ROWS=HIDING_ROWS, STYLES=rules.HIDDEN_STYLE))
+def hidden_text(t):
+    return E.hidden_text(_hiding_pages(t), rules.HIDDEN_STYLE).select("page_id", F.col("pos").cast("long").alias("pos"), "hidden")
+
+
 @query("F21_links", r"""
     SELECT page_id, len(regexp_extract_all(html, '(?is)<a[^>]*href=["'']([^"'']*)["''][^>]*>(.*?)</a>', 1)) AS links FROM pages""")
 def links(t):
