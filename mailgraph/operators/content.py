@@ -32,14 +32,6 @@ def coverage_census(df: DataFrame, text: str, *keys: str, vocabulary: Sequence[s
     return df.select(*keys, verdict.alias("v")).groupBy(*keys, "v.language", "v.script", "v.model_coverage").agg(F.count(F.lit(1)).alias("texts"))
 
 
-def localised_hits(text: Column) -> Column:
-    """Hits of the localised wording; localised urgency counts only beside other hits that lack its title."""
-    found = rules.hits(text, rules.LOCALISED)
-    urgent = rules.hits(text, (rules.URGENCY_LOCALISED,))
-    lacks = ~F.exists(found, lambda h: h["title"] == "Credential pressure")
-    return F.when((F.size(found) > 0) & lacks, F.concat(found, urgent)).otherwise(found)
-
-
 def language_checks(df: DataFrame, text: str, key: str = "msg_id") -> DataFrame:
     """(msg_id, title): authority or secrecy combined with a money request."""
     t = F.col(text)
@@ -55,36 +47,35 @@ def instruction_findings(message: DataFrame, text: str, page: DataFrame, key: st
     """(msg_id, type, description, excerpt) of text that addresses an automated reader.
 
     Visible text is scanned raw and after folding look-alikes (only what folding reveals); hidden text and comments of
-    the HTML (``page``: msg_id, hidden, comment arrays) report their first match each.
+    the HTML (``page``: msg_id, hidden, comment arrays) report their first match each, raw before folded. All sources go through one scan.
     """
-    raw = rules.hits(F.col(text), patterns)
-    folded = F.when(T.has_suspect(F.col(text)), rules.hits(T.skeleton(F.col(text)), patterns)).otherwise(F.slice(raw, 1, 0))
-    base = message.select(key, F.col(text).alias("_t"), raw.alias("_raw"), folded.alias("_folded"))
-    seen = F.transform("_raw", lambda h: h["title"])
-    revealed = F.filter("_folded", lambda h: ~F.array_contains(seen, h["title"]))
-    as_type = lambda hits, name: F.transform(hits, lambda h: F.struct(
-        F.lit(name).alias("type"), h["title"].alias("description"), h["excerpt"].alias("excerpt")))
-    invisible = F.regexp_count("_t", F.lit(rules.INVISIBLE))
-    cluster = F.when(invisible >= rules.INVISIBLE_THRESHOLD, F.array(F.struct(
-        F.lit("zero_width_characters").alias("type"), invisible.cast("string").alias("description"), F.lit(None).cast("string").alias("excerpt"))))
-    visible = F.concat(as_type("_raw", "instruction_pattern"), as_type(revealed, "homoglyph_instruction_pattern"), F.coalesce(
-        cluster, F.slice(as_type("_raw", "x"), 1, 0)))
-    out = base.select(key, F.explode(visible).alias("f")).select(key, "f.*")
-
-    def first(column: str, kind: str, otherwise: str | None) -> DataFrame:
-        parts = page.select(key, F.explode(column).alias("_p")).filter(F.trim("_p") != "")
-        hit = F.coalesce(rules.hits(F.col("_p"), patterns), F.array())
-        hit = F.when(F.size(hit) > 0, hit).otherwise(
-            F.when(T.has_suspect(F.col("_p")), rules.hits(T.skeleton(F.col("_p")), patterns)).otherwise(hit))
-        found = parts.withColumn("_h", F.get(hit, F.lit(0)))
-        rows = found.filter("_h IS NOT NULL").select(key, F.lit(kind).alias("type"), F.col("_h.title").alias("description"), F.col("_h.excerpt").alias("excerpt"))
-        if otherwise:
-            rows = rows.unionByName(found.filter("_h IS NULL").select(
-                key, F.lit(otherwise).alias("type"), F.lit("hidden content").alias("description"), F.lit(None).cast("string").alias("excerpt")))
-        return rows
-
-    return out.unionByName(first("hidden", "hidden_instruction", "hidden_content_present")).unionByName(
-        first("comment", "hidden_comment_raw_html_only", None))
+    part = lambda source: page.select(key, F.lit(source).alias("_source"), F.explode(source).alias("_t")).filter(F.trim("_t") != "")
+    texts = message.select(key, F.lit("visible").alias("_source"), F.col(text).alias("_t")).unionByName(part("hidden")).unionByName(part("comment"))
+    shown = F.array(rules.view(F.col("_t")))
+    views = F.when(T.has_suspect(F.col("_t")), F.concat(shown, F.array(rules.view(T.skeleton(F.col("_t")))))).otherwise(shown)
+    scanned = texts.select(
+        key, "_source", F.regexp_count("_t", F.lit(rules.INVISIBLE)).alias("_invisible"), F.transform(views, lambda seen: rules.hits_in(seen, patterns)).alias("_found"))
+    none = F.array().cast(f"array<{rules.HIT}>")
+    found = scanned.select(key, "_source", "_invisible", F.coalesce(F.get("_found", F.lit(0)), none).alias("_raw"), F.coalesce(F.get("_found", F.lit(1)), none).alias("_folded"))
+    finding = lambda kind, title, excerpt: F.struct(
+        F.lit(kind).alias("type"), title.cast("string").alias("description"), excerpt.cast("string").alias("excerpt"))
+    of = lambda kind, hits: F.transform(hits, lambda h: finding(kind, h["title"], h["excerpt"]))
+    null = F.lit(None)
+    revealed = F.filter("_folded", lambda h: ~F.exists("_raw", lambda r: r["title"] == h["title"]))
+    cluster = F.when(F.col("_invisible") >= rules.INVISIBLE_THRESHOLD, F.array(finding("zero_width_characters", F.col("_invisible"), null))).otherwise(of("", none))
+    first = F.slice(F.concat("_raw", "_folded"), 1, 1)
+    hidden = F.when(F.size(first) > 0, of("hidden_instruction", first)).otherwise(F.array(finding("hidden_content_present", F.lit("hidden content"), null)))
+    every = (
+        F.when(F.col("_source") == "visible", F.concat(of("instruction_pattern", F.col("_raw")), of("homoglyph_instruction_pattern", revealed), cluster))
+        .when(F.col("_source") == "hidden", hidden).otherwise(of("hidden_comment_raw_html_only", first)))
+    return found.select(key, F.explode(every).alias("f")).select(key, "f.*")
+
+
+def scored_instructions(findings: DataFrame, key: str = "msg_id") -> DataFrame:
+    """(msg_id, grp, title, detail, points) of instruction findings; each type has its own points, types without points give none."""
+    points = F.create_map(*[F.lit(x) for pair in rules.INSTRUCTION_POINTS.items() for x in pair])[F.col("type")]
+    return findings.withColumn("points", points).filter("points > 0").select(
+        key, F.lit("manipulation").alias("grp"), F.col("description").alias("title"), F.coalesce("excerpt", F.lit("")).alias("detail"), "points")
 
 
 def instruction_status(findings: DataFrame, message: DataFrame, key: str = "msg_id") -> DataFrame:

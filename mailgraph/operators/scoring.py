@@ -83,6 +83,12 @@ def structural(message: DataFrame, auth: DataFrame, model: DataFrame, url: DataF
         "attachments", "Active-content attachment extension", F.lit("Inventoried, not executed"), 15).alias("f")).select("msg_id", "f.*"))
 
 
+def lookalike_findings(url: DataFrame, lookalike: DataFrame) -> DataFrame:
+    """One identity finding for each host of a message that imitates a brand; ``lookalike`` holds (host, brand, why)."""
+    return url.select("msg_id", "host").distinct().join(lookalike, "host").select("msg_id", _finding(
+        "identity", "Look-alike domain", F.concat("host", F.lit(" resembles "), "brand", F.lit(": "), "why"), 15).alias("f")).select("msg_id", "f.*")
+
+
 def with_ids(findings: DataFrame, category: str = "grp") -> DataFrame:
     """Stable 16-digit id: digest of category, title, detail and the number of equal findings before it in the message."""
     basis = F.concat_ws("|", F.coalesce(category, F.lit("")), F.coalesce("title", F.lit("")), F.coalesce("detail", F.lit("")))

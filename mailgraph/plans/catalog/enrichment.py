@@ -176,19 +176,21 @@ def policy_walk(t):
     return E.published_policy(t.url.select(F.col("host").alias("domain")), dns)
 
 
-@query("J10_lookalike_domains", """
-    SELECT DISTINCT host, brand, why FROM (
+LOOKALIKE_SQL = """    SELECT DISTINCT host, brand, why FROM (
         SELECT v.host, b.brand, CASE
             WHEN contains(v.host, b.domain) AND NOT (v.host = b.domain OR v.host LIKE '%.' || b.domain) THEN 'embedded genuine domain'
             WHEN v.label = b.label THEN 'same name under another suffix'
             WHEN length(b.label) >= 7 AND damerau_levenshtein(v.label, b.label) = 1 THEN 'one-character edit'
             WHEN regexp_matches(v.label, '[0-9]') AND translate(v.label, '01345$', 'oleass') = b.label THEN 'digits for letters' END AS why
-        FROM (SELECT DISTINCT host, split_part(regexp_extract(host, '([^.]+[.])?[^.]+$'), '.', 1) AS label FROM v_url_variant) v
+        FROM (SELECT DISTINCT host, split_part(regexp_extract(host, '([^.]+[.])?[^.]+$'), '.', 1) AS label FROM {hosts}) v
         JOIN v_brand b ON NOT (v.host = b.domain OR v.host LIKE '%.' || b.domain))
-    WHERE why IS NOT NULL""")
+    WHERE why IS NOT NULL"""
+register_view("v_lookalike", LOOKALIKE_SQL.format(hosts="v_url"))
+
+
+@query("J10_lookalike_domains", LOOKALIKE_SQL.format(hosts="v_url_variant"))
 def lookalike_domains(t):
-    return E.lookalikes(variants(t), t.spark.createDataFrame(
-        [("Portal", ["examples.org"], [])], "name string, domains array<string>, tokens array<string>"))
+    return E.lookalikes(variants(t), t.brand)
 
 
 register_view("v_brand", "SELECT 'Portal' AS brand, 'examples.org' AS domain, 'examples' AS label")

@@ -41,14 +41,16 @@ RULE_ROWS = ",\n".join(
     "('{0}', '{1}', '{2}', '{3}', {4}, {5})".format(r.rule_id, r.grp, r.title, r.patterns[0], r.points, i)
     for i, r in enumerate(rules.DOCUMENT_RULES))
 register_view("v_rule_hit", f"""
-    SELECT msg_id, rule_id, grp, title, substr(trim(regexp_extract(body, pattern)), 1, 120) AS excerpt, points, rule_no
+    SELECT msg_id, rule_id, grp, title, trim(regexp_extract(body, pattern)) AS excerpt, points, rule_no
     FROM v_message JOIN (VALUES {RULE_ROWS}) r(rule_id, grp, title, pattern, points, rule_no) ON regexp_matches(body, pattern)""")
 register_view("v_high_model", """
     SELECT msg_id, coalesce(status = 'ready' AND probability BETWEEN 90 AND 100 AND NOT authenticated, false) AS strong_model, authenticated,
            status, probability, label FROM (
         SELECT m.*, a.dmarc = 'pass' OR (a.dkim = 'pass' AND a.spf = 'pass') AS authenticated FROM v_model m JOIN v_dmarc a USING (msg_id))""")
 register_view("v_finding", """
-    SELECT msg_id, grp, title, excerpt AS detail, points FROM v_rule_hit
+    SELECT msg_id, grp, title, excerpt AS detail, points FROM v_wording_first
+    UNION ALL SELECT msg_id, 'manipulation', title, coalesce(excerpt, ''), points FROM v_instruction WHERE points > 0
+    UNION ALL SELECT DISTINCT u.msg_id, 'identity', 'Look-alike domain', host || ' resembles ' || brand || ': ' || why, 15 FROM v_url u JOIN v_lookalike USING (host)
     UNION ALL SELECT msg_id, 'identity', 'Reply-To domain differs', split_part(sender, '@', 2) || ' versus ' || split_part(reply_to, '@', 2), 20
         FROM v_message WHERE reply_to IS NOT NULL
     UNION ALL SELECT msg_id, 'authentication', 'DKIM signature failed', 'dkim fail', 15 FROM v_dmarc WHERE dkim = 'fail'
@@ -97,8 +99,7 @@ def rule_scan(t):
     SELECT msg_id, grp, title, detail, points FROM v_finding WHERE grp IN ('identity', 'authentication', 'reputation', 'attachments')
         OR title IN ('High model phishing probability', 'Suspicious URL structure')""")
 def structural(t):
-    e = Evidence(t)
-    return S.structural(t.message, e.auth, t.model, e.url, t.attachment)
+    return Evidence(t).structural
 
 
 @query("F12_url_scores", "SELECT msg_id, url, score, array_to_string(reasons, '; ') AS reasons FROM v_scan")
@@ -140,22 +141,34 @@ def model_verdict(t):
 
 CLASS_SQL = r"""
     WITH flags AS (
-        SELECT *, lower(subject || ' ' || body) AS txt, links > 0 AND dmarc <> 'pass' AS lure,
-               list_contains(titles, 'Account-expiry pressure') OR list_contains(titles, 'Credential pressure') AS supported FROM v_triage),
+        SELECT *, links > 0 AND dmarc <> 'pass' AS lure,
+               regexp_matches(txt, '\b(?:shared (?:document|file|folder)|document (?:has been )?shared|view (?:the )?(?:document|file)|secure document|onedrive|sharepoint|google docs?)\b') AS share,
+               regexp_matches(txt, '\b(?:mailbox|quota|storage|voicemail|voice mail|e-?fax|delivery failure|undelivered|failed delivery|messages? held|incoming messages?)\b') AS mailbox,
+               regexp_matches(txt, '\b(?:invoice|payment notification|remittance|statement|purchase order|po attached|billing notice)\b') AS notice,
+               regexp_matches(txt, 'gift card|advance fee|lottery|inheritance|blackmail|extortion|bitcoin ransom') AS scheme,
+               list_has_any(titles, ['Account-expiry pressure', 'Credential pressure', 'Look-alike domain']) AS supported
+        FROM (SELECT *, lower(subject || ' ' || body) AS txt FROM v_triage)),
     ev AS (
         SELECT *, list_sort(list_filter([
                 CASE WHEN list_contains(titles, 'Feed URL match') THEN 'Feed URL match' END,
-                CASE WHEN list_contains(titles, 'Credential pressure') AND NOT (dmarc = 'pass' AND NOT list_contains(titles, 'Feed URL match'))
+                CASE WHEN list_contains(titles, 'Credential pressure') AND NOT (dmarc = 'pass' AND NOT list_has_any(titles, ['Feed URL match', 'Look-alike domain']))
                      THEN 'Credential pressure' END,
                 CASE WHEN list_contains(titles, 'Suspicious URL structure') AND supported THEN 'Suspicious URL structure' END,
                 CASE WHEN list_contains(titles, 'Account-expiry pressure') AND lure AND regexp_matches(txt,
                      'expired|expires? today|today|immediately|within \d+ ?(hours?|hrs)|24 hours|1 day|suspend|deactivat|is full|not delivered|were held|are held')
-                     THEN 'Account-expiry lure with link, sender not authenticated' END], lambda x: x IS NOT NULL)) AS phishing,
+                     THEN 'Account-expiry lure with link, sender not authenticated' END,
+                CASE WHEN lure AND share THEN 'Shared-document lure with link, sender not authenticated' END,
+                CASE WHEN lure AND mailbox THEN 'Mailbox/voicemail/delivery lure with link, sender not authenticated' END], lambda x: x IS NOT NULL)) AS phishing,
             list_sort(list_filter([
                 CASE WHEN list_contains(titles, 'Payment diversion') THEN 'Payment diversion' END,
-                CASE WHEN list_contains(titles, 'Verification avoidance') THEN 'Verification avoidance' END], lambda x: x IS NOT NULL)) AS fraud,
-            list_filter([CASE WHEN dmarc = 'fail' AND list_contains(titles, 'Reply-To domain differs')
-                THEN 'DMARC failure with identity mismatch' END], lambda x: x IS NOT NULL) AS impersonated
+                CASE WHEN list_contains(titles, 'Verification avoidance') THEN 'Verification avoidance' END,
+                CASE WHEN lure AND notice THEN 'Invoice/payment-notification lure with link, sender not authenticated' END,
+                CASE WHEN scheme THEN 'Fraud-scheme wording' END], lambda x: x IS NOT NULL)) AS fraud,
+            list_sort(list_filter([
+                CASE WHEN list_contains(titles, 'Look-alike domain') THEN 'Look-alike domain' END,
+                CASE WHEN dmarc = 'fail' AND list_contains(titles, 'Reply-To domain differs') THEN 'DMARC failure with identity mismatch' END,
+                CASE WHEN lure AND list_contains(titles, 'Reply-To domain differs') AND (share OR mailbox OR notice)
+                     THEN 'Identity mismatch combined with a lure' END], lambda x: x IS NOT NULL)) AS impersonated
         FROM flags),
     cls AS (
         SELECT *, list_filter([CASE WHEN len(phishing) > 0 THEN 'phishing' END, CASE WHEN len(fraud) > 0 THEN 'fraud_related' END,

@@ -8,16 +8,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailgraph.functions import hosts, rules
+from mailgraph.operators import content as K
 from mailgraph.operators import decisions as D
 from mailgraph.operators import enrichment as E
 from mailgraph.operators import scoring as S
+from mailgraph.plans import lineage
 
 
 class Evidence:
-    """Lazy frames; each is one declarative plan, so a query that needs only scores never reads the link reasons twice."""
+    """Lazy frames over one set of tables. Findings are written once when first asked for: score and case facts both read them, and the texts are
+    scanned a single time."""
 
-    def __init__(self, tables, scan_rules=rules.EVIDENCE_RULES):
-        self.t, self.rules = tables, scan_rules
+    def __init__(self, tables):
+        self.t = tables
 
     @cached_property
     def auth(self) -> DataFrame:
@@ -36,9 +39,15 @@ class Evidence:
 
     @cached_property
     def finding(self) -> DataFrame:
-        scanned = rules.scan(self.t.message.select("msg_id", "body"), "body", self.rules, "msg_id").select(
-            "msg_id", "grp", "title", F.col("excerpt").alias("detail"), "points")
-        return scanned.unionByName(S.structural(self.t.message, self.auth, self.t.model, self.url, self.t.attachment))
+        text = self.t.planted.select("msg_id", "text")
+        scanned = rules.findings(text, rules.wording(F.col("text")), "msg_id").select("msg_id", "grp", "title", F.col("excerpt").alias("detail"), "points")
+        instructions = K.scored_instructions(K.instruction_findings(text, "text", self.t.page_parts))
+        return lineage.cut(scanned.unionByName(instructions).unionByName(self.structural))
+
+    @cached_property
+    def structural(self) -> DataFrame:
+        found = S.structural(self.t.message, self.auth, self.t.model, self.url, self.t.attachment)
+        return found.unionByName(S.lookalike_findings(self.t.url, E.lookalikes(self.t.url, self.t.brand)))
 
     @cached_property
     def score(self) -> DataFrame:
