@@ -54,7 +54,7 @@ def instruction_findings(message: DataFrame, text: str, page: DataFrame, key: st
     shown = F.array(rules.view(F.col("_t")))
     views = F.when(T.has_suspect(F.col("_t")), F.concat(shown, F.array(rules.view(T.skeleton(F.col("_t")))))).otherwise(shown)
     scanned = texts.select(
-        key, "_source", F.regexp_count("_t", F.lit(rules.INVISIBLE)).alias("_invisible"), F.transform(views, lambda seen: rules.hits_in(seen, patterns)).alias("_found"))
+        key, "_source", F.when(T.is_ascii(F.col("_t")), 0).otherwise(F.regexp_count("_t", F.lit(rules.INVISIBLE))).alias("_invisible"), F.transform(views, lambda seen: rules.hits_in(seen, patterns)).alias("_found"))
     none = F.array().cast(f"array<{rules.HIT}>")
     found = scanned.select(key, "_source", "_invisible", F.coalesce(F.get("_found", F.lit(0)), none).alias("_raw"), F.coalesce(F.get("_found", F.lit(1)), none).alias("_folded"))
     finding = lambda kind, title, excerpt: F.struct(
