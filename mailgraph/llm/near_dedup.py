@@ -35,7 +35,7 @@ PERCENT = 80
 BANDS = 36
 ROWS = 5
 SKETCH_BITS = 512
-SIGMAS = 5.0
+SIGMAS = 6.0
 #: buckets up to this size pair up in a join; larger ones are compared block by block
 SMALL_BUCKET = 32
 BLOCK = 2048
