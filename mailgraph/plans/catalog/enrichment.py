@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from mailgraph.functions import hosts, markup, rules
 from mailgraph.operators import enrichment as E
+from mailgraph.operators import networks as NW
 from mailgraph.operators import scoring as S
 from mailgraph.operators import suffixes as SX
 from mailgraph.plans.evidence import Evidence
@@ -91,6 +92,86 @@ def cidr_load(t):
     return networks(t)
 
 
+#: fixed values: lines that a network feed may hold beside networks
+ODD_LINES = ("; comment", "# 1.2.3.4", "not a network", "10.0.0.0/40", "2001:db8::/129", "")
+register_view("v_address", """
+    SELECT msg_id, hop, ip, 4 AS ver, string_split(ip, '.') AS o FROM v_hop
+    UNION ALL SELECT msg_id, hop, CASE WHEN msg_id % 2 = 0 THEN '2001:db8:' || o[1] || ':' || o[2] || '::' || o[4]
+                                       ELSE '2001:0DB8:' || o[1] || ':' || o[2] || ':0:0:0:' || o[4] END, 6, o
+        FROM (SELECT *, string_split(ip, '.') AS o FROM v_hop) WHERE msg_id % 4 < 2""")
+register_view("v_mixed_network", """
+    SELECT DISTINCT o[1] || '.' || o[2] || '.0.0/16 ; drop' AS cidr, 4 AS ver, 16 AS size, o[1] || '.' || o[2] AS k FROM v_address WHERE ver = 4 AND msg_id % 5 = 0
+    UNION SELECT DISTINCT ip, 4, 32, ip FROM v_address WHERE ver = 4 AND msg_id % 7 = 3
+    UNION SELECT DISTINCT '2001:db8:' || o[1] || '::/48', 6, 48, o[1] FROM v_address WHERE msg_id % 11 = 0
+    UNION SELECT DISTINCT '2001:db8:' || o[1] || ':' || o[2] || '::' || o[4] || '/125 # part', 6, 125,
+                 o[1] || ':' || o[2] || ':' || (('0x' || o[4])::INTEGER // 8) FROM v_address WHERE msg_id % 3 = 1""")
+
+
+def mixed_addresses(t):
+    o = F.split("ip", "\\.")
+    short = F.concat(F.lit("2001:db8:"), o[0], F.lit(":"), o[1], F.lit("::"), o[3])
+    whole = F.concat(F.lit("2001:0DB8:"), o[0], F.lit(":"), o[1], F.lit(":0:0:0:"), o[3])
+    six = t.hop.filter(F.col("msg_id") % 4 < 2).select("msg_id", "hop", F.when(F.col("msg_id") % 2 == 0, short).otherwise(whole).alias("ip"))
+    return t.hop.select("msg_id", "hop", "ip").unionByName(six)
+
+
+def mixed_feed(t):
+    """Lines of a feed with networks of both versions, comments and lines that name none."""
+    o, i = F.split("ip", "\\."), F.col("msg_id")
+    six = lambda *tail: F.concat(F.lit("2001:db8:"), o[0], *tail)
+    lines = (
+        t.hop.filter(i % 5 == 0).select(F.concat(o[0], F.lit("."), o[1], F.lit(".0.0/16 ; drop")).alias("cidr"))
+        .union(t.hop.filter(i % 7 == 3).select("ip")).union(t.hop.filter(i % 11 == 0).select(six(F.lit("::/48"))))
+        .union(t.hop.filter(i % 3 == 1).select(six(F.lit(":"), o[1], F.lit("::"), o[3], F.lit("/125 # part")))))
+    return lines.union(t.spark.createDataFrame([(x,) for x in ODD_LINES], "cidr string")).distinct()
+
+
+MEMBER_SQL = """JOIN v_mixed_network n ON a.ver = n.ver AND n.k = CASE n.size WHEN 16 THEN o[1] || '.' || o[2] WHEN 32 THEN ip WHEN 48 THEN o[1]
+                ELSE o[1] || ':' || o[2] || ':' || (('0x' || o[4])::INTEGER // 8) END"""
+
+
+@query("J03_mixed_networks", f"SELECT DISTINCT msg_id, hop, ip, cidr FROM v_address a {MEMBER_SQL}")
+def mixed_networks(t):
+    return NW.members(mixed_addresses(t), NW.parsed(mixed_feed(t))).select("msg_id", "hop", "ip", "cidr").distinct()
+
+
+@query("J03_longest_network", f"""
+    SELECT DISTINCT msg_id, hop, ip, cidr FROM v_address a {MEMBER_SQL} QUALIFY n.size = max(n.size) OVER (PARTITION BY ip)""")
+def longest_network(t):
+    return NW.members(mixed_addresses(t), NW.parsed(mixed_feed(t)), longest=True).select("msg_id", "hop", "ip", "cidr").distinct()
+
+
+@query("S04_mixed_load", "SELECT cidr, ver, size FROM v_mixed_network")
+def mixed_load(t):
+    return NW.parsed(mixed_feed(t)).select("cidr", "ver", "size")
+
+
+def address_registry(t):
+    """Entries (pos, cidrs, urls) in registry order: ranges of both versions, malformed ones among them, made from the addresses seen."""
+    first = F.split("ip", "\\.")[0].cast("int")
+    pos = (first * 7) % 31
+    text, six = first.cast("string"), F.concat(F.lit("2001:db8:"), first.cast("string"), F.lit("::/48"))
+    four, narrow = F.concat(text, F.lit(".0.0.0/8")), F.concat(text, F.lit(".20.0.0/16"))
+    cidrs = F.when(pos % 4 == 0, F.array(four, six)).when(pos % 4 == 1, F.array(F.lit("malformed"), four)).when(
+        pos % 4 == 2, F.array(narrow, F.lit("malformed"), four)).otherwise(F.array(six, F.lit("::/64")))
+    secure = F.concat(F.lit("https://r"), pos.cast("string"), F.lit(".example/"))
+    urls = F.when(pos % 5 == 0, F.array(F.lit("http://plain.example/"))).otherwise(F.array(F.lit("http://plain.example/"), secure, F.lit("https://later.example/")))
+    own = t.hop.select(pos.alias("pos"), cidrs.alias("cidrs"), urls.alias("urls")).distinct()
+    return own.union(t.spark.createDataFrame([(40, None, None), (50, ["40.0.0.0/6"], ["https://last.example/"])], "pos int, cidrs array<string>, urls array<string>"))
+
+
+@query("J14_address_delegation", """
+    WITH f AS (SELECT DISTINCT o[1]::INTEGER AS n, o[1]::INTEGER * 7 % 31 AS pos FROM v_address),
+    a AS (SELECT DISTINCT ip, ver, o[1]::INTEGER AS n, o[2] AS second FROM v_address),
+    m AS (SELECT a.ip, f.pos FROM a JOIN f ON a.n = f.n WHERE CASE f.pos % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN a.ver = 4 AND a.second = '20' ELSE a.ver = 6 END
+          UNION ALL SELECT ip, 50 FROM a WHERE ver = 4 AND n BETWEEN 40 AND 43),
+    b AS (SELECT ip, min(pos) AS pos FROM m GROUP BY ip)
+    SELECT a.ip, b.pos, CASE WHEN b.pos = 50 THEN 'https://last.example/' WHEN b.pos % 5 <> 0 THEN 'https://r' || b.pos || '.example/' END AS endpoint
+    FROM a LEFT JOIN b USING (ip)""")
+def address_delegation(t):
+    return NW.delegated(mixed_addresses(t), address_registry(t))
+
+
 @query("P06_public_addresses", """
     SELECT msg_id, hop, NOT (ip LIKE '10.%' OR ip LIKE '192.168.%') AS is_public FROM v_hop""")
 def public_addresses(t):
