@@ -18,15 +18,15 @@ VERHOEFF_P = (
     (2, 7, 9, 3, 8, 0, 6, 4, 1, 5), (7, 0, 4, 6, 9, 1, 3, 2, 5, 8),
 )
 
-# Identifier shapes and the masks that replace them. (?U) gives word borders, blanks and digits their Unicode meaning.
-ID12 = "(?U)\\b[2-9]\\d{3}[\\s-]?\\d{4}[\\s-]?\\d{4}\\b"
-PAN = "(?<![A-Za-z0-9_])[A-Za-z]{5}[0-9]{4}[A-Za-z](?![A-Za-z0-9_])"
+# Identifier shapes and the masks that replace them, as they stand. (?U) gives word borders, blanks and digits their Unicode meaning.
+ID12 = r"(?U)\b[2-9]\d{3}[\s-]?\d{4}[\s-]?\d{4}\b"
+PAN = r"(?U)\b[A-Za-z]{5}[0-9]{4}[A-Za-z]\b"
 UPI_HANDLES = ("oksbi|okhdfcbank|okaxis|okicici|ybl|paytm|apl|axl|ibl|upi|sbi|hdfcbank|icici|axisbank|barodampay|"
                "pnb|kotak|federal|idfcfirst|fbl")
-UPI = f"(?i)(?<![A-Za-z0-9_])[a-z0-9._-]{{2,256}}@(?:{UPI_HANDLES})(?![A-Za-z0-9_.-])"
-PHONE = "(?U)(?<![\\d\\w])(?:\\+?91[\\s-]?|0)?[6-9]\\d{4}[\\s-]?\\d{5}(?!\\d)"
-EMAIL = "(?<![A-Za-z0-9_])([A-Za-z0-9._%+-])[A-Za-z0-9._%+-]*@([A-Za-z0-9.-]+\\.[A-Za-z]{2,})(?![A-Za-z0-9_])"
-IFSC = "(?<![A-Za-z0-9_])[A-Za-z]{4}0[A-Za-z0-9]{6}(?![A-Za-z0-9_])"
+UPI = rf"(?i)(?U)\b[a-z0-9.\-_]{{2,256}}@(?:{UPI_HANDLES})(?![\w.\-])"
+PHONE = r"(?U)(?<![\d\w])(?:\+?91[\s-]?|0)?[6-9]\d{4}[\s-]?\d{5}(?!\d)"
+EMAIL = r"(?U)\b([A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]*@([A-Za-z0-9.\-]+\.[A-Za-z]{2,})\b"
+IFSC = r"(?U)\b[A-Za-z]{4}0[A-Za-z0-9]{6}\b"
 MASKS = {"aadhaar": "[AADHAAR REDACTED]", "pan": "[PAN REDACTED]", "upi": "[UPI REDACTED]", "phone": "[PHONE REDACTED]"}
 
 # Account numbers next to the word.
@@ -52,23 +52,27 @@ def _valid_ids(text: Column) -> Column:
 
 
 def counts(text: Column, emails: bool = False) -> dict[str, Column]:
+    """Numbers of identifiers by kind; texts without an @ or a digit are not searched for what needs one."""
     text = F.coalesce(text, F.lit(""))
-    out = {
-        "aadhaar": F.size(_valid_ids(text)),
-        "pan": F.regexp_count(text, F.lit(PAN)),
-        "upi": F.regexp_count(text, F.lit(UPI)),
-        "phone": F.regexp_count(text, F.lit(PHONE)),
-    }
+    at, digit = F.contains(text, F.lit("@")), text.rlike(r"(?U)\d")
+    counted = lambda possible, pattern: F.when(possible, F.regexp_count(text, F.lit(pattern))).otherwise(0)
+    out = {"aadhaar": F.when(digit, F.size(_valid_ids(text))).otherwise(0), "pan": counted(digit, PAN), "upi": counted(at, UPI), "phone": counted(digit, PHONE)}
     if emails:
-        out["email"] = F.regexp_count(text, F.lit(EMAIL))
+        out["email"] = counted(at, EMAIL)
     return out
 
 
+def _mask_valid_ids(text: Column) -> Column:
+    """12-digit numbers masked match by match, each where it stands: the same digits inside a longer number stay."""
+    pieces, found = F.split(text, ID12, -1), F.regexp_extract_all(text, F.lit(ID12), F.lit(0))
+    shown = F.transform(found, lambda m: F.when(verhoeff_valid(F.regexp_replace(m, "[^0-9]", "")), MASKS["aadhaar"]).otherwise(m))
+    joined = F.array_join(F.zip_with(pieces, shown, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
+    return F.when(F.size(found) > 0, joined).otherwise(text)
+
+
 def mask(text: Column, emails: bool = False) -> Column:
-    """Identifiers replaced in a fixed order; 12-digit numbers only where the check digit holds."""
-    valid = F.array_distinct(_valid_ids(F.coalesce(text, F.lit(""))))
-    out = F.aggregate(valid, text, lambda acc, m: F.replace(acc, m, F.lit(MASKS["aadhaar"])))
-    out = F.when(F.size(valid) > 0, out).otherwise(text)
+    """Identifiers replaced in a fixed order; 12-digit numbers only where the check digit holds. NULL stays NULL."""
+    out = _mask_valid_ids(text)
     for pattern, kind in ((PAN, "pan"), (UPI, "upi"), (PHONE, "phone")):
         out = F.regexp_replace(out, pattern, MASKS[kind])
     return F.regexp_replace(out, EMAIL, "$1***@$2") if emails else out

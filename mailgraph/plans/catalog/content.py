@@ -24,19 +24,9 @@ register_view("v_planted", """
 EMAIL = "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}"
 
 
-@query("A23_pii_census", f"""
-    SELECT source, sum(CASE WHEN msg_id % 6 = 0 THEN 1 ELSE 0 END)::BIGINT AS aadhaar,
-           sum(len(regexp_extract_all(note, ' [A-Za-z]{{5}}[0-9]{{4}}[A-Za-z] ')))::BIGINT AS pan,
-           sum(len(regexp_extract_all(note, ' user[01]@oksbi ')))::BIGINT AS upi,
-           sum(CASE WHEN msg_id % 6 = 3 THEN 1 ELSE 0 END)::BIGINT AS phone,
-           sum(len(regexp_extract_all(note, ' {EMAIL} ')))::BIGINT AS email, count(*) AS texts FROM v_planted GROUP BY source""")
-def pii_census(t):
-    return K.pii_census(t.planted.select("source", "note"), "note", "source")
-
-
 @query("A23_pii_census_texts")
 def pii_census_texts(t):
-    """The census over whole texts; SQL cannot say the Unicode borders and check digits, so tests hold worked examples."""
+    """The census over whole texts; SQL cannot say the Unicode borders and look-arounds, so a test counts every text of the small tables in Python."""
     return K.pii_census(t.planted.select("source", "text"), "text", "source")
 
 
@@ -46,17 +36,9 @@ def email_census(t):
     return K.pii_census(t.message.select("source", "body"), "body", "source").select("source", "email")
 
 
-@query("F17_masked_export", r"""
-    SELECT msg_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(note, '2341 2341 2346', '[AADHAAR REDACTED]'),
-        'ABCDE1234F', '[PAN REDACTED]'), 'user[01]@oksbi', '[UPI REDACTED]'), '\+91 98765 43210', '[PHONE REDACTED]'),
-        'ann.lee@corp.example', 'a***@corp.example') AS note FROM v_planted""")
-def masked_export(t):
-    return K.masked(t.planted.select("msg_id", "note"), "note")
-
-
 @query("F17_masked_texts")
 def masked_texts(t):
-    """The masks over whole texts; worked examples in tests."""
+    """The masks over whole texts; a test masks every text of the small tables in Python."""
     return K.masked(t.planted.select("msg_id", "text"), "text")
 
 
@@ -231,17 +213,16 @@ def secret_score(text):
     return F.least(F.lit(100.0), 45.0 * F.size(rules.hits(text, (rules.INSTRUCTIONS[0], rules.ENGLISH[0]))))
 
 
-@query("R10_evasion_delta", """
-    SELECT msg_id, 0.0::DOUBLE AS raw_score, CASE WHEN msg_id % 5 = 1 THEN 45.0::DOUBLE ELSE 0.0::DOUBLE END AS normalised_score,
-           CASE WHEN msg_id % 5 = 1 THEN 45.0::DOUBLE ELSE 0.0::DOUBLE END AS delta, msg_id % 5 = 1 AS flagged FROM v_planted WHERE msg_id % 5 IN (1, 2)""")
-def evasion_delta(t):
-    obfuscated = t.planted.filter(F.col("note").rlike("\\u200b|\\u0440lease"))
-    return K.evasion(obfuscated, "note", secret_score, 40.0, "msg_id")
+_BOTH = [r.patterns[0].replace("'", "''") for r in (rules.INSTRUCTIONS[0], rules.ENGLISH[0])]
 
 
-@query("R10_evasion_texts")
+@query("R10_evasion_texts", f"""
+    WITH s AS (SELECT msg_id, least(100.0, 45.0 * (regexp_matches(text, '(?i){_BOTH[0]}')::INTEGER + regexp_matches(text, '(?is){_BOTH[1]}')::INTEGER))::DOUBLE AS raw_score,
+                      least(100.0, 45.0 * (regexp_matches(folded, '(?i){_BOTH[0]}')::INTEGER + regexp_matches(folded, '(?is){_BOTH[1]}')::INTEGER))::DOUBLE AS normalised_score
+               FROM (SELECT *, {FOLDED} AS folded FROM v_planted) WHERE folded <> text)
+    SELECT *, normalised_score - raw_score AS delta, normalised_score - raw_score >= 40 AS flagged FROM s""")
 def evasion_texts(t):
-    """Whole texts with any look-alikes, not only the planted spellings; worked examples in tests."""
+    """Whole texts with any look-alikes, not only the planted spellings."""
     return K.evasion(t.planted, "text", secret_score, 40.0, "msg_id")
 
 

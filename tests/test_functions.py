@@ -1,5 +1,6 @@
 import hashlib
 import hmac
+import random
 import re
 from dataclasses import replace
 
@@ -165,3 +166,44 @@ def test_gated_hits_equal_plain_matches(spark):
 def test_pii_takes_any_white_space_between_groups(spark):
     text = F.lit("id 2341\n2341\n2346 call 98765\t43210")
     assert one(spark, pii.mask(text))[0] == "id [AADHAAR REDACTED] call [PHONE REDACTED]"
+
+
+def _brute_patterns():
+    """The identifier patterns as Python has them: the same text without the flag that gives the JVM Unicode classes."""
+    return {k: re.compile(p.replace("(?U)", "").replace("(?i)", ""), re.I if "(?i)" in p else 0) for k, p in (
+        ("aadhaar", pii.ID12), ("pan", pii.PAN), ("upi", pii.UPI), ("phone", pii.PHONE), ("email", pii.EMAIL))}
+
+
+def _valid(digits):
+    c = 0
+    for i, d in enumerate(reversed(digits)):
+        c = pii.VERHOEFF_D[c][pii.VERHOEFF_P[i % 8][int(d)]]
+    return c == 0
+
+
+def _masked(text):
+    if text is None:
+        return None
+    p = _brute_patterns()
+    text = p["aadhaar"].sub(lambda m: pii.MASKS["aadhaar"] if _valid(re.sub("[^0-9]", "", m[0])) else m[0], text)
+    for kind in ("pan", "upi", "phone"):
+        text = p[kind].sub(pii.MASKS[kind], text)
+    return p["email"].sub(r"\1***@\2", text)
+
+
+def _counted(text):
+    p = _brute_patterns()
+    ids = sum(_valid(re.sub("[^0-9]", "", m)) for m in p["aadhaar"].findall(text or ""))
+    return (ids, *[len(p[k].findall(text or "")) for k in ("pan", "upi", "phone", "email")])
+
+
+def test_masks_and_counts_equal_python(spark, tables):
+    rng = random.Random(6)
+    pieces = ["234123412346", "2341 2341 2346", "2341-2341-2345", "9", " ", "-", "é", "a", "ABCDE1234F", "ab@ybl", "x.y@mail.example", ".", "@", "98765 43210", "+91 ", "\n", "_"]
+    hard = ["234123412346 and 9234123412346", "é234123412346", "234123412346é", "éABCDE1234F ABCDE1234F", "Éab@ybl ab@ybl.x ab@yblé", "é.x@mail.example é", None, "", "2341\u00a02341\u00a02346"]
+    texts = hard + ["".join(rng.choice(pieces) for _ in range(rng.randrange(14))) for _ in range(600)] + [r.text for r in tables.planted.select("text").collect()]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = df.select("i", pii.mask(F.col("t"), True).alias("m"), *[c.alias(k) for k, c in pii.counts(F.col("t"), True).items()]).collect()
+    for r in got:
+        assert (r.m, (r.aadhaar, r.pan, r.upi, r.phone, r.email)) == (_masked(texts[r.i]), _counted(texts[r.i])), texts[r.i]
+    assert got[0].m == "[AADHAAR REDACTED] and 9234123412346"
