@@ -214,6 +214,39 @@ def protected_identity(message: DataFrame, identity: DataFrame) -> DataFrame:
     return shown.join(known, "key").filter(~allowed).select("msg_id", F.col("name").alias("identity"), "domain")
 
 
+#: fixed values: wording that asks for an action
+ACTION = "(?i)\\b(?:payment|invoice|transfer|password|credential|verify|login|gift cards?)\\b"
+
+
+def domain_imitations(host: DataFrame, identity: DataFrame) -> DataFrame:
+    """(host, identity, domain, deceptive): distinct hosts that hold the name of a protected domain without belonging to the identity (deceptive) or whose
+    label is one edit away from its label. Candidates share the first characters of the domain at some place, or a form with one character left out."""
+    target = identity.select(F.col("name").alias("identity"), F.col("domains").alias("allowed"), F.explode("domains").alias("domain"))
+    label = hosts.first_label(F.col("domain"))
+    tagged = lambda test, keys: F.transform(keys, lambda k: F.struct(F.lit(test).alias("test"), k.alias("key")))
+    asked = target.select("identity", "allowed", "domain", label.alias("target"), F.explode(F.concat(
+        tagged("part", F.array(F.substring("domain", 1, GRAM))),
+        tagged("edit", F.when(F.length(label) >= 5, _without_one(label)).otherwise(F.array().cast("array<string>"))))).alias("k"))
+    base = host.select("host").distinct().filter("host <> ''").withColumn("label", hosts.first_label(F.col("host")))
+    held = base.select("host", "label", F.explode(F.array_distinct(F.concat(
+        tagged("part", F.flatten(F.array(*[_grams(F.col("host"), n) for n in range(1, GRAM + 1)]))), tagged("edit", _without_one(F.col("label")))))).alias("k"))
+    pairs = held.select("host", "label", "k.*").join(asked.select("identity", "allowed", "domain", "target", "k.*"), ["test", "key"])
+    deceptive = F.col("host").contains(F.col("domain")) & ~F.col("host").endswith(F.concat(F.lit("."), F.col("domain")))
+    similar = (F.length("target") >= 5) & hosts.one_edit(F.col("label"), F.col("target"))
+    outside = ~F.exists("allowed", lambda d: hosts.within(F.col("host"), d))
+    return pairs.filter(outside & (deceptive | similar)).select("host", "identity", "domain", deceptive.alias("deceptive")).distinct()
+
+
+def protected_resemblance(message: DataFrame, peer: DataFrame, identity: DataFrame) -> DataFrame:
+    """(msg_id, identity, host): hosts of a message (``peer``: msg_id, host; sender and links) that imitate a protected domain. Holding its name is enough;
+    a name one edit away counts only beside wording that asks for an action (``message``: msg_id, text)."""
+    found = peer.distinct().join(domain_imitations(peer, identity), "host")
+    named = found.filter("deceptive").select("msg_id", "identity", "host")
+    asking = message.filter(F.col("text").rlike(ACTION)).select("msg_id")
+    close = found.filter("NOT deceptive").join(asking, "msg_id", "left_semi").select("msg_id", "identity", "host")
+    return named.unionByName(close).distinct()
+
+
 SENSITIVE = "(?i)(^|[^a-z0-9_])(verify|password|payment|invoice|account|login|bank)([^a-z0-9_]|$)"
 
 
@@ -236,11 +269,22 @@ def delegation(domain: DataFrame, bootstrap: DataFrame) -> DataFrame:
     return domain.withColumn("tld", F.substring_index("domain", ".", -1)).join(secure, "tld", "left")
 
 
+#: leading hex digits of an observation's digest that name its part
+PART_DIGITS = 3
+
+
 def infrastructure_print(observation: DataFrame) -> DataFrame:
-    """(domain, print): digest of the sorted distinct (kind, value) observations of a domain."""
-    clean = observation.select("domain", "kind", F.lower(F.trim("value")).alias("value")).filter("value <> ''").distinct()
-    return clean.groupBy("domain").agg(
-        F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "kind", "value"))), ";"), 256).alias("print"))
+    """(domain, print): digest of the distinct (kind, value) observations of a domain, in two levels.
+
+    Observations fall into 4,096 parts by their own digest; a part is the digest of its sorted observations, the print that of the sorted parts. So no
+    row holds all observations of a domain, and equal sets give equal prints in whatever order and tasks they were seen.
+    """
+    clean = observation.select("domain", F.concat_ws("=", "kind", F.lower(F.trim("value"))).alias("seen")).filter(F.trim("value") != "").distinct()
+    digest = F.sha2("seen", 256)
+    parts = clean.groupBy("domain", F.substring(digest, 1, PART_DIGITS).alias("part")).agg(
+        F.sha2(F.array_join(F.array_sort(F.collect_list("seen")), ";"), 256).alias("digest"))
+    joined = F.array_join(F.array_sort(F.collect_list(F.concat("part", F.lit(":"), "digest"))), ";")
+    return parts.groupBy("domain").agg(F.sha2(joined, 256).alias("print"))
 
 
 def shared_prints(prints: DataFrame) -> DataFrame:

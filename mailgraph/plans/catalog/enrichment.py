@@ -296,6 +296,26 @@ def protected_identity(t):
     return E.protected_identity(shown, identity)
 
 
+@query("J11_protected_resemblance", r"""
+    WITH p AS (SELECT msg_id, host FROM v_url UNION SELECT msg_id, host || '.portal.example.test' FROM v_url WHERE page_id % 9 = 0
+               UNION SELECT msg_id, replace(host, 'example.', 'examp1es.') FROM v_url WHERE page_id % 7 = 0
+               UNION SELECT msg_id, split_part(sender, '@', 2) FROM v_message),
+    d(identity, domain, label) AS (VALUES ('Example Desk', 'examples.org', 'examples'), ('Example Desk', 'portal.example', 'portal'), ('Source', 'src10.example', 'src10'))
+    SELECT DISTINCT msg_id, identity, host FROM p JOIN d ON (contains(host, domain) AND NOT host LIKE '%.' || domain)
+        OR (length(label) >= 5 AND damerau_levenshtein(split_part(regexp_extract(host, '([^.]+[.])?[^.]+$'), '.', 1), label) = 1
+            AND msg_id IN (SELECT msg_id FROM v_planted WHERE regexp_matches(text, '(?i)\b(?:payment|invoice|transfer|password|credential|verify|login|gift cards?)\b')))
+    WHERE NOT EXISTS (SELECT 1 FROM d e WHERE e.identity = d.identity AND (p.host = e.domain OR p.host LIKE '%.' || e.domain))""")
+def protected_resemblance(t):
+    identity = t.spark.createDataFrame(
+        [("Example Desk", ["examples.org", "portal.example"], []), ("Source", ["src10.example"], [])], "name string, domains array<string>, addresses array<string>")
+    u = t.url.select("msg_id", "page_id", "host")
+    peers = (
+        u.select("msg_id", "host").union(u.filter("page_id % 9 = 0").select("msg_id", F.concat("host", F.lit(".portal.example.test"))))
+        .union(u.filter("page_id % 7 = 0").select("msg_id", F.replace("host", F.lit("example."), F.lit("examp1es."))))
+        .union(t.message.select("msg_id", hosts.domain(F.col("sender")))))
+    return E.protected_resemblance(t.planted, peers, identity)
+
+
 @query("J12_domain_resemblance", r"""
     WITH p AS (SELECT DISTINCT msg_id, 'www.' || replace(split_part(sender, '@', 2), 'src', 'srcs') AS host FROM v_message
                UNION SELECT msg_id, split_part(sender, '@', 2) || '.login.test' FROM v_message WHERE msg_id % 4 = 0)
@@ -416,7 +436,9 @@ register_view("v_observation", """
 
 
 @query("A21_infrastructure_prints", """
-    WITH p AS (SELECT domain, sha256(string_agg(kind || '=' || value, ';' ORDER BY kind || '=' || value)) AS print FROM v_observation GROUP BY domain)
+    WITH o AS (SELECT DISTINCT domain, kind || '=' || lower(trim(value)) AS seen FROM v_observation),
+    b AS (SELECT domain, sha256(seen)[1:3] AS part, sha256(string_agg(seen, ';' ORDER BY seen)) AS digest FROM o GROUP BY domain, part),
+    p AS (SELECT domain, sha256(string_agg(part || ':' || digest, ';' ORDER BY part)) AS print FROM b GROUP BY domain)
     SELECT print, count(*) AS domains, min(domain) AS first_domain FROM p GROUP BY print HAVING count(*) > 1""")
 def infrastructure_prints(t):
     sender = t.message.select("msg_id", "lang", hosts.domain(F.col("sender")).alias("domain"), "source")

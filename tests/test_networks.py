@@ -67,3 +67,21 @@ def test_delegation_by_range(spark):
     assert {tuple(r) for r in networks.delegated(seen, rows).collect()} == {
         ("151.101.0.223", 3, "https://c.example/"), ("151.101.7.1", 2, "https://b.example/"), ("8.8.8.8", 5, "https://f.example"), ("9.9.9.9", 4, None),
         ("2001:db8::1", 3, "https://c.example/"), ("2001:db9::1", None, None), ("no", None, None)}
+
+
+def test_protected_resemblance(spark):
+    from mailgraph.operators import enrichment as E
+    identity = spark.createDataFrame([("Bank", ["mybank.example", "pay.mybank.example"], []), ("Shop", ["shop.co.uk"], [])], "name string, domains array<string>, addresses array<string>")
+    peer = spark.createDataFrame([
+        (1, "www.mybank.example"), (1, "mybank.example.evil.test"), (2, "mybnak.example"), (3, "mybnak.example"), (3, "mybank.test"), (4, "shops.co.uk"), (4, ""), (5, None),
+        (6, "xmybank.example"), (3, "mybnak.example")], "msg_id long, host string")
+    message = spark.createDataFrame([(1, "hi"), (2, "hi"), (3, "Verify it"), (4, "invoice"), (5, None), (6, "hi")], "msg_id long, text string")
+    got = sorted(tuple(r) for r in E.protected_resemblance(message, peer, identity).collect())
+    assert got == [(1, "Bank", "mybank.example.evil.test"), (3, "Bank", "mybnak.example"), (6, "Bank", "xmybank.example")]
+
+
+def test_prints_do_not_depend_on_order(spark):
+    from mailgraph.operators import enrichment as E
+    rows = [("a", "NS", f"n{i}") for i in range(3000)] + [("b", "NS", f" N{i} ") for i in reversed(range(3000))] + [("b", "NS", "n1"), ("b", "MX", " "), ("c", "NS", "n1")]
+    prints = {r.domain: r.print for r in E.infrastructure_print(spark.createDataFrame(rows, "domain string, kind string, value string").repartition(5)).collect()}
+    assert prints["a"] == prints["b"] != prints["c"]
