@@ -147,5 +147,11 @@ def evasion(df: DataFrame, text: str, scorer, delta: float = 40.0, *keep: str) -
     return both.withColumn("delta", F.round(F.col("normalised_score") - F.col("raw_score"), 1)).withColumn("flagged", F.col("delta") >= delta)
 
 
+def normal_forms(df: DataFrame, text: str, *keep: str) -> DataFrame:
+    """(keep..., normal): texts with look-alikes or invisible characters as a reader sees them: folded, then in Unicode form NFKC. Only these texts
+    pass through Python."""
+    return df.filter(T.has_suspect(F.col(text))).select(*keep, T.nfkc(T.skeleton(F.col(text))).alias("normal"))
+
+
 def payment_profile(df: DataFrame, text: str, *keep: str) -> DataFrame:
     return df.select(*keep, *[c.alias(k) for k, c in pii.payment_tokens(F.col(text)).items()])

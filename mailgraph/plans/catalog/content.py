@@ -89,6 +89,16 @@ def skeleton(t):
     return t.planted.filter(T.has_suspect(F.col("text"))).select("msg_id", F.sha2(T.skeleton(F.col("text")), 256).alias("skeleton"))
 
 
+#: fixed value: characters that only NFKC folds
+WIDE = " \uff21\uff22\uff43 \ufb01n \u00b2 \u2460 e\u0301"
+
+
+@query("F13_normal_form")
+def normal_form(t):
+    """Folded texts in form NFKC; SQL has no NFKC, so a test does it for every text of the small tables in Python."""
+    return K.normal_forms(t.planted.withColumn("text", F.concat("text", F.lit(WIDE))), "text", "msg_id").select("msg_id", F.sha2("normal", 256).alias("normal"))
+
+
 @query("F14_homoglyph_words", """
     SELECT msg_id, chr(1088) || 'lease,ign' || chr(1086) || 're,instructi' || chr(1086) || 'ns' AS words FROM v_planted WHERE msg_id % 5 = 1
     UNION ALL SELECT msg_id, 'a' || chr(8203) || 'b' || chr(8203) || 'c' || chr(8203) || 'd' || chr(8203) || 'e' || chr(8203) FROM v_planted WHERE msg_id % 5 = 2""")

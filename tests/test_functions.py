@@ -2,6 +2,7 @@ import hashlib
 import hmac
 import random
 import re
+import unicodedata
 from dataclasses import replace
 
 import pytest
@@ -207,3 +208,15 @@ def test_masks_and_counts_equal_python(spark, tables):
     for r in got:
         assert (r.m, (r.aadhaar, r.pan, r.upi, r.phone, r.email)) == (_masked(texts[r.i]), _counted(texts[r.i])), texts[r.i]
     assert got[0].m == "[AADHAAR REDACTED] and 9234123412346"
+
+
+def test_normal_form_equals_python(spark, tables):
+    from mailgraph.plans.catalog import content
+    fold = str.maketrans(dict(T.CONFUSABLES) | dict.fromkeys(T.ZERO_WIDTH, ""))
+    want = {}
+    for r in tables.planted.select("msg_id", "text").collect():
+        text = r.text + content.WIDE
+        if any(c in T.CONFUSABLES or c in T.ZERO_WIDTH for c in text):
+            want[r.msg_id] = hashlib.sha256(unicodedata.normalize("NFKC", text.translate(fold)).encode()).hexdigest()
+    got = {r.msg_id: r.normal for r in content.normal_form(tables).collect()}
+    assert got == want and len(got) > 50
