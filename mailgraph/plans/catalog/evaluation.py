@@ -258,6 +258,32 @@ def train_classifier(t):
     return training.held_out_report(t.corpus)
 
 
+register_view("v_deduplicated", """
+    SELECT msg_id, text, label FROM v_keyed
+    QUALIFY msg_id = min(msg_id) OVER (PARTITION BY key) AND min(label) OVER (PARTITION BY key) = max(label) OVER (PARTITION BY key)""")
+
+
+@query("M01_training_rows", r"""
+    WITH s AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY sha256('42:' || msg_id)) AS rn, count(*) OVER (PARTITION BY label) AS n FROM v_deduplicated)
+    SELECT CASE WHEN rn * 10 <= n * 8 THEN 'train' WHEN rn * 10 <= n * 9 THEN 'validation' ELSE 'test' END AS split, label, count(*) AS rows,
+           sum(len(list_filter(string_split_regex(lower(text), '[^\p{L}]+'), lambda x: x <> '')))::BIGINT AS tokens
+    FROM s GROUP BY 1, 2""")
+def training_rows(t):
+    """What the classifier of M01 is trained, tuned and tested on."""
+    from mailgraph.plans import training
+    return training.prepared(t.corpus).groupBy("split", "label").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.size("tokens")).alias("tokens"))
+
+
+@query("M02_window_cover", r"""
+    WITH w AS (SELECT msg_id, len(list_filter(string_split_regex(lower(text), '[^\p{L}]+'), lambda x: x <> '')) AS n FROM v_corpus)
+    SELECT msg_id, (CASE WHEN n <= 254 THEN 1 ELSE ceil((n - 254) / 222)::INTEGER + 1 END)::INTEGER AS windows, n::INTEGER AS covered, true AS complete FROM w""")
+def window_cover(t):
+    """Windows and tokens that M02 looks at, with a scorer from outside in place of the trained model."""
+    from mailgraph.plans import training
+    scored = training.score_worst_window(lambda windows: windows.withColumn("p", F.size("tokens") / 254.0), t.corpus)
+    return scored.select("msg_id", "windows", "covered", "complete")
+
+
 @query("M02_window_scoring")
 def window_scoring(t):
     from mailgraph.plans import training

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
@@ -21,9 +23,10 @@ def _stages(tokens: str) -> list:
 
 
 def prepared(corpus: DataFrame) -> DataFrame:
-    """De-duplicated corpus with its split and tokens."""
-    split = C.stratified_split(C.deduplicated(C.with_key(corpus)))
-    return RegexTokenizer(inputCol="text", outputCol="tokens", pattern="[^\\p{L}]+").transform(split)
+    """De-duplicated corpus with its split and tokens. Ids are split; texts are joined to them afterwards."""
+    kept = C.deduplicated(C.with_key(corpus).select("msg_id", "label", "key"))
+    split = C.stratified_split(kept.select("msg_id", "label")).select("msg_id", "split")
+    return RegexTokenizer(inputCol="text", outputCol="tokens", pattern="[^\\p{L}]+").transform(corpus.join(split, "msg_id"))
 
 
 def train(corpus: DataFrame) -> PipelineModel:
@@ -36,15 +39,22 @@ def probability(model: PipelineModel, tokens: DataFrame) -> DataFrame:
 
 def held_out_report(corpus: DataFrame) -> DataFrame:
     """Accuracy, precision, recall, F1 and ROC area on the test split."""
+    return V.auc(predictions(corpus).select("label", "p"))
+
+
+def predictions(corpus: DataFrame) -> DataFrame:
+    """(msg_id, label, p) of the test split, by a model of the training split."""
     data = prepared(corpus)
     model = Pipeline(stages=_stages("tokens")).fit(data.filter("split = 'train'"))
-    scored = probability(model, data.filter("split = 'test'")).select("label", "p")
-    return V.auc(scored)
+    return probability(model, data.filter("split = 'test'")).select("msg_id", "label", "p")
+
 
+def score_worst_window(model: PipelineModel | Callable[[DataFrame], DataFrame], corpus: DataFrame) -> DataFrame:
+    """Probability of each text's worst overlapping window, with the window and the tokens covered.
 
-def score_worst_window(model: PipelineModel, corpus: DataFrame) -> DataFrame:
-    """Probability of each text's worst overlapping window, with the window and the tokens covered."""
+    ``model`` is a fitted pipeline or any function that adds a column ``p`` to rows with ``tokens``, so a model from elsewhere can be plugged in.
+    """
     tokens = RegexTokenizer(inputCol="text", outputCol="all_tokens", pattern="[^\\p{L}]+").transform(corpus)
     windows = V.token_windows(tokens, F.col("all_tokens"), "msg_id")
-    scored = probability(model, windows)
+    scored = probability(model, windows) if isinstance(model, PipelineModel) else model(windows)
     return V.worst_window(scored, F.round("p", 6), "msg_id")

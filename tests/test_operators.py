@@ -419,3 +419,19 @@ def test_instructions_have_points_by_type(spark):
         (1, "hidden_instruction"), (1, "instruction_pattern"), (2, "homoglyph_instruction_pattern"), (3, "zero_width_characters"), (4, "hidden_comment_raw_html_only"),
         (4, "hidden_content_present")]
     assert sorted((r.msg_id, r.points) for r in K.scored_instructions(found).collect()) == [(1, 25), (1, 35), (2, 30), (3, 15), (4, 15)]
+
+
+def test_classifier_report_recomputed(spark, tables):
+    """The report of the trained classifier from its stored predictions, recomputed pair by pair."""
+    from mailgraph.operators import evaluation as V
+    from mailgraph.plans import lineage, training
+    stored = lineage.cut(training.predictions(tables.corpus).select("label", "p"))
+    rows, report = [(r.label, r.p) for r in stored.collect()], V.auc(stored).first().asDict()
+    hit = lambda label, guess: sum(y == label and (p >= 0.5) == guess for y, p in rows)
+    tp, fp, fn, tn = hit(1, True), hit(0, True), hit(1, False), hit(0, False)
+    assert len(rows) == tp + fp + fn + tn > 0
+    for name, value in {"accuracy": (tp + tn) / len(rows), "precision": tp / (tp + fp) if tp + fp else None, "recall": tp / (tp + fn) if tp + fn else None}.items():
+        assert value is None or report[name] == pytest.approx(value, abs=1e-6), name
+    pairs = [(a > b) + 0.5 * (a == b) for ya, a in rows for yb, b in rows if ya == 1 and yb == 0]
+    area = next(v for k, v in report.items() if "auc" in k)
+    assert not pairs or area == pytest.approx(sum(pairs) / len(pairs), abs=1e-6)
