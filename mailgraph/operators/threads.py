@@ -139,14 +139,17 @@ def header_consistency(header: DataFrame, message: DataFrame) -> DataFrame:
     return repeated.unionByName(malformed).unionByName(differs)
 
 
-def search(message: DataFrame, finding: DataFrame, indicator: DataFrame, needle: str) -> DataFrame:
-    """Messages whose subject, sender, findings or indicator values contain the text, ignoring case.
+def search(message: DataFrame, finding: DataFrame, indicator: DataFrame, needle: str, recipient: DataFrame | None = None) -> DataFrame:
+    """Messages whose subject, sender, recipients (``recipient``: msg_id, recipient), findings or indicator values contain the text, ignoring case.
 
-    Each table is filtered where it is stored; only matching ids are shuffled.
+    Each table is filtered where it is stored; only matching ids are shuffled. Blank text finds every message.
     """
     wanted = needle.strip().lower()
+    if not wanted:
+        return message.select("msg_id")
     hit = lambda *c: F.lower(F.concat_ws(" ", *c)).contains(wanted)
     return (
         message.filter(hit("subject", "sender")).select("msg_id")
+        .unionByName((message.limit(0) if recipient is None else recipient.filter(hit("recipient"))).select("msg_id"))
         .unionByName(finding.filter(hit("title", "detail")).select("msg_id"))
         .unionByName(indicator.filter(hit("value")).select("msg_id")).distinct())

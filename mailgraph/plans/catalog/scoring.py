@@ -304,6 +304,15 @@ def search(t):
     return TH.search(t.message, Evidence(t).finding, indicators(t), "ation")
 
 
+@query("P03_search_recipient", """
+    SELECT msg_id FROM v_message m WHERE contains(lower(subject || ' ' || sender), 'to7@de.inbox')
+        OR EXISTS (SELECT 1 FROM v_recipient r WHERE r.msg_id = m.msg_id AND contains(lower(recipient), 'to7@de.inbox'))
+        OR EXISTS (SELECT 1 FROM v_finding f WHERE f.msg_id = m.msg_id AND contains(lower(title || ' ' || detail), 'to7@de.inbox'))
+        OR EXISTS (SELECT 1 FROM v_indicator i WHERE i.msg_id = m.msg_id AND contains(lower(value), 'to7@de.inbox'))""")
+def search_recipient(t):
+    return TH.search(t.message, Evidence(t).finding, indicators(t), " TO7@de.inbox ", t.recipient)
+
+
 @query("P12_rule_registry", """
     SELECT rule, count(*) FILTER (hit) AS flagged, count(*) AS messages FROM (
         SELECT unnest(['score_ge_25', 'score_ge_45', 'hold', 'model_phishing']) AS rule,

@@ -15,6 +15,10 @@ VIEWS = {
                CASE WHEN d.doc_id % 5 <> 2 AND d.doc_id % 3 <> 0 THEN '<m' || (d.doc_id - 1) || '@x.example>' END AS in_reply_to,
                d.lang, d.source, l.quality, l.toxic
         FROM documents d JOIN events e ON e.event_id = d.doc_id LEFT JOIN labels l ON l.doc_id = d.doc_id""",
+    "v_recipient": r"""
+        SELECT doc_id AS msg_id, 'to' || n || '@' || lang || '.Inbox.example' AS recipient FROM (
+            SELECT d.doc_id, d.lang, unnest(CASE WHEN doc_id % 3 = 0 THEN [e.user_id % 50, e.user_id % 50 + 50] ELSE [e.user_id % 50] END) AS n
+            FROM documents d JOIN events e ON e.event_id = d.doc_id)""",
     "v_hop": r"""
         SELECT msg_id, hop, 'mx' || ((msg_id + hop) % 6) || '.example' AS from_host,
                'mx' || ((msg_id + hop + 1 + CASE WHEN msg_id % 13 = 0 THEN hop ELSE 0 END) % 6) || '.example' AS by_host,

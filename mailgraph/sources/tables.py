@@ -64,6 +64,15 @@ class Tables:
             )
         )
 
+    @cached_property
+    def recipient(self) -> DataFrame:
+        """(msg_id, recipient): one or two addressees of each message."""
+        d, e = self.documents.select("doc_id", "lang"), self.events.select("event_id", "user_id")
+        to = lambda n: F.concat(F.lit("to"), n, F.lit("@"), "lang", F.lit(".Inbox.example"))
+        u = F.col("user_id") % 50
+        both = F.when(F.col("doc_id") % 3 == 0, F.array(to(u), to(u + 50))).otherwise(F.array(to(u)))
+        return d.join(e, d["doc_id"] == e["event_id"]).select(F.col("doc_id").alias("msg_id"), F.explode(both).alias("recipient"))
+
     @cached_property
     def hop(self) -> DataFrame:
         i, h = F.col("msg_id"), F.col("hop")
