@@ -6,10 +6,13 @@ epochs. The rest of the budget is drawn without replacement: a document's key is
 id, documents are taken in key order, and the prefix sum of sizes stops at the budget. A document is taken when at least half of it
 fits, so a source misses its target by at most half a document.
 
-Keys are cut into fixed slices, so a source with a third of all rows is sorted by many tasks; only slice sums are ordered along a source.
+Keys are cut into fixed slices, so a source with a third of all rows is sorted by many tasks; only slice sums are ordered along a source. The slices
+are equal parts of a mixture of the key's distributions at ten qualities: whatever the qualities in a source, no slice is expected to hold more
+than ten times its even share.
 
-Null texts have size 0 and are never taken. A null source is a source of its own, after all others. Rows with equal ids share a key and
-are ordered by size; the draw depends on ids alone, so reruns agree. Empty tables give empty results.
+Null texts have size 0 and are never taken. A null source is a source of its own, after all others. Rows with equal ids share a number ``u`` and, with
+equal keys, are ordered by size; the draw depends on ids and texts alone, so reruns agree. Null ids share a ``u`` as well. Very long texts are counted whole;
+one longer than what is left of a budget is taken if at least half of it fits. Columns are named by the caller; others never matter. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -25,14 +28,25 @@ WORD = r"[^\x20\x09-\x0D]+"
 NOISE = r"[#*$%&|<>{}=~^_@0-9!]"
 WEIGHTS = (1, 2, 3)
 MOST = 3.0
-SLICES = 4096
+SLICES = 16_384
+#: a text's quality is no less
+LEAST_QUALITY = 0.1
 SALT = "mix"
 
 
 def quality(text: Column) -> Column:
     """Sampling weight of a document, 0.1 to 1: less for texts full of symbols and digits."""
     noise = F.regexp_count(text, F.lit(NOISE)) / F.greatest(F.length(text), F.lit(1))
-    return F.greatest(F.lit(0.1), F.lit(1.0) - F.lit(5.0) * noise)
+    return F.greatest(F.lit(LEAST_QUALITY), F.lit(1.0) - F.lit(5.0) * noise)
+
+
+def slice_of(key: Column, count: int = SLICES) -> Column:
+    """Which of ``count`` slices a sample key falls into: rising with the key. At quality q keys are exponential with rate q."""
+    rates = [LEAST_QUALITY + (1 - LEAST_QUALITY) * i / 9 for i in range(10)]
+    later = F.lit(0.0)
+    for rate in rates:
+        later = later + F.exp(-key * F.lit(rate))
+    return F.floor((F.lit(1.0) - later / F.lit(float(len(rates)))) * F.lit(count)).cast("int")
 
 
 def uniform(id_col: Column, salt: str = SALT) -> Column:
@@ -68,8 +82,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     plan = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))).select(
         F.col("source").alias("_source"), "source_size", "target",
         F.coalesce(F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0))), F.lit(0)).cast("long").alias("_full"))
-    # exp(-key) falls as the key grows, so slices follow the key order and hold about equally many rows
-    sliced = rows.withColumn("_slice", F.floor((1 - F.exp(-F.col("sample_key"))) * SLICES).cast("int"))
+    sliced = rows.withColumn("_slice", slice_of(F.col("sample_key")))
     sums = sliced.groupBy("source", "_slice").agg(F.sum("size").alias("_sum"))
     earlier = Window.partitionBy("source").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(F.col("source").alias("_s"), F.col("_slice").alias("_c"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
