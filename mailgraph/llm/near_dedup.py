@@ -11,8 +11,10 @@ that still hold several components are looked at, and in them only members outsi
 inside one component can add no link between components. Large buckets are compared sketch against sketch, in blocks of bounded size, and only
 pairs that pass come out. Every pair of a bucket is thus linked, in one component already, or tested: no cap on partners is set.
 
-Null texts and texts without words have an empty set and are linked with nothing. Fewer words than a shingle make one of all of them. Rows
-that repeat an id share its class. Empty tables give empty results. Other columns are never looked at.
+Null texts and texts without words have an empty set and are linked with nothing. Fewer words than a shingle make one of all of them. Every row is a
+document of its own: rows that repeat an id with the same set share a class, with different sets they have a class each. Rows with a null id take part;
+a component is named by its smallest id that is not null, and is null if it has none. Very long texts are parsed in slices of a batch, whole.
+Empty tables give empty results. Other columns are never looked at, whatever their names. Ids are longs (others are cast).
 """
 
 from __future__ import annotations
@@ -109,11 +111,17 @@ def most_different_bits(percent: int = PERCENT, sigmas: float = SIGMAS) -> int:
     return int(np.ceil(SKETCH_BITS * (1 - np.exp(-4 * differing / SKETCH_BITS)) / 2 + sigmas / 2 * (SKETCH_BITS / 16) ** 0.5))
 
 
-PREPARED = "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch array<long>"
+PREPARED = "doc_id long, tag long, n_shingles long, set_key binary, bands array<long>, sketch array<long>"
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, tag, text): the tag tells texts under one id apart."""
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text"))
 
 
 def prepare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit key of the set, band keys and odd sketch (null for empty sets)."""
+    """doc_id, tag, n_shingles, a 128-bit key of the set, band keys and odd sketch (null for empty sets)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in words.parts(batch, "text"):
@@ -128,10 +136,22 @@ def prepare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
                 for n, (i, b, s) in enumerate(zip(filled, bands(values), sketches(values), strict=True)):
                     keys[i], cells[i], odd[i] = key[i].tobytes(), b, s
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(cells, pa.list_(pa.int64())),
-                     pa.array(odd, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_key", "bands", "sketch"])
+                    [part.column("doc_id"), part.column("tag"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(cells, pa.list_(pa.int64())),
+                     pa.array(odd, pa.list_(pa.int64()))], names=["doc_id", "tag", "n_shingles", "set_key", "bands", "sketch"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, PREPARED)
+    return _texts(docs, id_col, text_col).mapInArrow(run, PREPARED)
+
+
+def classes_of(prepared: DataFrame) -> DataFrame:
+    """(set_key, least, node): each class, its smallest id and its number.
+
+    The number is that id. Only where an id stands for several sets, or all ids of the class are null, is it a hash of the set.
+    """
+    full = prepared.filter("set_key IS NOT NULL").select("set_key", "doc_id", F.xxhash64("set_key").alias("_h"))
+    several = full.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("_h").alias("_lo"), F.max("_h").alias("_hi")).filter("_lo <> _hi").select(
+        F.col("doc_id").alias("least"), F.lit(True).alias("_several"))
+    return full.groupBy("set_key").agg(F.min("doc_id").alias("least")).join(several, "least", "left").select(
+        "set_key", "least", F.when(F.col("_several") | F.col("least").isNull(), F.xxhash64("set_key")).otherwise(F.col("least")).alias("node"))
 
 
 def _close(left: str, right: str, limit: int) -> Column:
@@ -164,12 +184,14 @@ def _confirm(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int) ->
     return pairs.join(b, "dst").join(a, "src").select("src", "dst", "text_a", "text_b").mapInArrow(run, "src long, dst long")
 
 
-def links(prepared: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
-    """(src, dst): links between classes (by their smallest ids) that join all near duplicates into their components."""
+def links(prepared: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
+    """(src, dst): links between classes (by their numbers) that join all near duplicates into their components. Inside, ``doc_id`` is a class's number."""
     limit = most_different_bits(percent)
-    classes = prepared.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"))
-    members = prepared.select("doc_id", "bands", "sketch").join(classes.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    members = lineage.cut(members)
+    # one row stands for a class: text, sketch and bands are those of that row
+    stands = prepared.select("set_key", "tag", "bands", "sketch", F.col("doc_id").alias("least"))
+    named = classes.select("node", F.col("set_key").alias("_key"), F.col("least").alias("_least"))
+    members = lineage.cut(stands.join(named, (F.col("set_key") == F.col("_key")) & F.col("least").eqNullSafe(F.col("_least"))).select(
+        F.col("node").alias("doc_id"), "least", "tag", "bands", "sketch").dropDuplicates(["doc_id"]))
     cells = members.select("doc_id", F.explode("bands").alias("cell"))
     # in large buckets pivots differ from bucket to bucket, so a member meets many of its group; in small ones the smallest id repeats fewer pairs
     lot = F.xxhash64("cell", "doc_id")
@@ -178,8 +200,10 @@ def links(prepared: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col
     ).filter("n > 1").select("cell", "n", F.when(F.col("n") <= SMALL_BUCKET, F.array("least")).otherwise(F.array("one", "two")).alias("pivots"))
     buckets = lineage.cut(cells.join(shared, "cell"))
     touched = buckets.select("doc_id").distinct()
-    texts = lineage.cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(
-        touched, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    wanted = members.join(touched, "doc_id", "left_semi").select("doc_id", F.col("least").alias("_least"), F.col("tag").alias("_tag"))
+    rows = _texts(docs, id_col, text_col).withColumnRenamed("doc_id", "least")
+    texts = lineage.cut(rows.join(wanted, F.col("least").eqNullSafe(F.col("_least")) & (F.col("tag") == F.col("_tag"))).select(
+        "doc_id", "text").dropDuplicates(["doc_id"]))
     sketch = members.join(touched, "doc_id", "left_semi").select("doc_id", "sketch")
 
     def near(pairs: DataFrame) -> DataFrame:
@@ -263,22 +287,34 @@ def _block_pairs(askers: DataFrame, others: DataFrame, members: DataFrame, limit
     return left.groupBy("cell", "bx", "by").cogroup(right.groupBy("cell", "bx", "by")).applyInPandas(run, "src long, dst long")
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id (smallest id reachable) and kept."""
+def _placed(docs: DataFrame, id_col: str, text_col: str, percent: int, shingle: int) -> DataFrame:
+    """One row per row of ``docs``: doc_id, tag, n_shingles, component_id and kept."""
     prepared = lineage.cut(prepare(docs, id_col, text_col, shingle))
-    joined = connected_components(links(prepared, docs, id_col, text_col, percent, shingle)).select(F.col("node").alias("_class"), "component")
-    classes = prepared.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("_class"))
-    member = prepared.select("doc_id", "n_shingles", "set_key")
+    classes = lineage.cut(classes_of(prepared))
+    parts = connected_components(links(prepared, classes, docs, id_col, text_col, percent, shingle)).join(classes.select("node", "least"), "node")
+    ids = parts.groupBy("component").agg(F.min("least").alias("_part"))
+    linked = parts.join(ids, "component").select(F.col("node").alias("_node"), "_part")
     # a class's rows may be many: the map side has at most one row per class, and AQE splits a hot one
-    named = classes.join(joined, "_class", "left").select("set_key", F.coalesce("component", "_class").alias("_part"))
-    return member.join(named, "set_key", "left").select(
-        "doc_id", "n_shingles", F.coalesce("_part", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    placed = classes.join(linked, F.col("node") == F.col("_node"), "left").select("set_key", F.coalesce("_part", "least").alias("_part"))
+    member = prepared.select("doc_id", "tag", "n_shingles", "set_key")
+    return member.join(placed, "set_key", "left").select(
+        "doc_id", "tag", "n_shingles", F.coalesce("_part", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id (smallest id reachable) and kept."""
+    return _placed(docs, id_col, text_col, percent, shingle).drop("tag")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs``, all columns, that are the smallest id of their component; rows with a null id stay."""
-    gone = components(docs, id_col, text_col, percent, shingle).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    """The rows of ``docs``, all columns, that carry the smallest id of their component; rows with a null id stay.
+
+    Rows are matched by id and text, so of rows that repeat an id only the text that has an earlier near copy goes.
+    """
+    gone = _placed(docs, id_col, text_col, percent, shingle).filter("NOT kept").select(F.col("doc_id").alias("_gone"), F.col("tag").alias("_tag")).distinct()
+    doc = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
+    own = docs.select(doc, F.col(f"`{id_col}`").cast("long").alias("_id"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("_text"))
+    return own.join(gone, (F.col("_id") == F.col("_gone")) & (F.col("_text") == F.col("_tag")), "left_anti").select("_doc.*")
 
 
 @query("op5_near_dedup")

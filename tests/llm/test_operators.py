@@ -152,6 +152,21 @@ def test_near_dedup_of_one_large_group(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == want and len({v[1] for v in want.values()}) > 1
 
 
+def test_near_dedup_of_repeated_ids(spark):
+    base = [f"b{k}" for k in range(60)]
+    other = [f"c{k}" for k in range(60)]
+    near = [" ".join([*w[:59], "changed"]) for w in (base, other)]
+    rows = [(5, " ".join(base)), (5, " ".join(other)), (7, near[0]), (8, near[1]), (5, "alone"), (3, None), (None, " ".join(other).upper()), (None, "no id"), (5, "alone"),
+            (2, near[0])]
+    want = Counter([(5, 57, 2), (5, 57, 5), (7, 57, 2), (8, 57, 5), (5, 1, 5), (5, 1, 5), (3, 0, 3), (None, 57, 5), (None, 1, None), (2, 57, 2)])
+    for order in (rows, rows[::-1], rows[3:] + rows[:3]):
+        docs = spark.createDataFrame([(*r, "x", 1) for r in order], "doc_id long, text string, tag string, least int").repartition(3)
+        assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.components(docs).collect()) == want
+        kept = near_dedup.keep_first(docs)
+        assert kept.columns == docs.columns and Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(
+            [r for r in rows if r not in (rows[0], rows[2], rows[3])])
+
+
 def test_odd_sketches_estimate_similarity():
     rng = np.random.default_rng(1)
     sets = []
@@ -190,6 +205,24 @@ def test_targets_share_the_excess(spark):
     assert got["b"] == 30 and got[None] == 0 and math.isclose(got["a"], level) and math.isclose(got["c"], 3 * level)
 
 
+@pytest.mark.parametrize("noise", [0, 1, 6, 50])
+def test_mixing_slices_are_even_at_every_quality(spark, noise):
+    docs = spark.range(200_000).select(F.col("id").alias("doc_id"), F.lit("word " * 20 + "# " * noise).alias("text"), F.lit("s").alias("source"))
+    keys = mixing.mix(docs).select("sample_key", mixing.slice_of(F.col("sample_key"), 1000).alias("cell"))
+    assert keys.groupBy("cell").count().agg(F.max("count")).first()[0] < 10 * 200 * 1.3
+    ordered = keys.groupBy("cell").agg(F.min("sample_key").alias("lo"), F.max("sample_key").alias("hi")).orderBy("cell").collect()
+    assert all(a.hi <= b.lo for a, b in zip(ordered, ordered[1:]))
+
+
+def test_mixed_rows_of_odd_tables(spark, odd, none):
+    times = Counter()
+    for r in mixing.mix(odd).collect():
+        times[r.doc_id] = max(times[r.doc_id], r.epochs)
+    got = mixing.mixed_rows(odd)
+    assert got.columns == odd.columns and mixing.mixed_rows(none).count() == 0
+    assert Counter(r.doc_id for r in got.collect()) == Counter({i: n * sum(r.doc_id == i for r in odd.collect()) for i, n in times.items() if n})
+
+
 def test_quality(spark, odd, none, texts):
     for r in registry.queries()["op7_quality"](spark, SMALL).collect():
         want = brute.quality(texts[r.doc_id])
