@@ -59,6 +59,35 @@ def test_jaccard_join_equals_all_pairs(spark, seed):
     assert got == want and want
 
 
+def test_pairs_are_summed_in_blocks_and_not_shuffled(spark, monkeypatch):
+    """300 texts that share their rare shingles with hundreds of others: candidates stay few, in one block or in many, also with characters beyond the packed ones."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdef") for _ in range(4)) for _ in range(60)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(15, 60))) for _ in range(280)]
+    texts += [t + " \u2019x\U0001f600" for t in texts[:20]]
+    texts += ["".join(chr(0x4E00 + (i * k) % 20000) for k in range(1, 90)) for i in (1, 7)] + ["".join(chr(0x4E00 + k) for k in range(1, 5001))]
+    reps = spark.createDataFrame([(i, False, t) for i, t in enumerate(texts)], "rep long, is_sample boolean, text string")
+    want = brute_jaccard(dict(enumerate(texts)))
+    for rows in (M.blocks.ROWS, 40):
+        monkeypatch.setattr(M.blocks, "ROWS", rows)
+        prefixes = M.shingle_prefixes(reps).persist()
+        candidates = {(r.src, r.dst) for r in M.jaccard_candidates(prefixes).collect()}
+        assert want <= candidates and len(candidates) < len(texts)
+        got = M.jaccard_pairs(reps).collect()
+        assert len(got) == len(want) and {(r.src, r.dst) for r in got} == want and want
+        prefixes.unpersist()
+    twice = M.jaccard_pairs(reps.unionByName(reps).unionByName(reps.filter("rep = 299").withColumn("rep", F.lit(500).cast("long")))).collect()
+    assert len(twice) == len({(r.src, r.dst) for r in twice}) and {(r.src, r.dst) for r in twice} == want | {(299, 500), (19, 500)}
+
+
+def test_words_are_counted_inside_their_message(spark):
+    """Rows that share an id are one message; a message without words has no row; nothing is exploded before it is counted."""
+    rows = [(1, "aa bb aa http://x.y/zz cc9dd"), (2, "bb"), (1, "aa bb"), (3, "1 2 3"), (4, None)]
+    terms = M.term_counts(spark.createDataFrame(rows, "msg_id long, text string"))
+    assert sorted(map(tuple, terms.collect())) == [(1, "aa", 3), (1, "bb", 2), (1, "cc", 1), (1, "dd", 1), (2, "bb", 1)]
+    assert "Generate" not in terms._jdf.queryExecution().executedPlan().toString()
+
+
 def test_salted_groups_lose_no_pair(spark):
     members = spark.createDataFrame([(i, "g") for i in range(60)], "rep long, gram string")
     sizes = members.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
