@@ -450,6 +450,23 @@ def test_instructions_have_points_by_type(spark):
     assert sorted((r.msg_id, r.points) for r in K.scored_instructions(found).collect()) == [(1, 25), (1, 35), (2, 30), (3, 15), (4, 15)]
 
 
+def test_robustness_scores_each_text_once(spark):
+    from mailgraph.operators import evaluation as V
+    scored = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("double")
+    def score(text):
+        scored.add(len(text))
+        return text.str.contains("account") * 20.0
+
+    rows = [(i, f"text {i}" + " account" * (i % 2), "g") for i in range(400)] + [(1, "account again", "g"), (None, "account", "g"), (7, "account", None)]
+    texts = spark.createDataFrame(rows, "msg_id long, t string, grp string")
+    got = V.robustness(texts, "t", score, 20.0, 10).collect()
+    assert {(r.attack, r.tested, r.scanned, r.detected) for r in got} == {
+        (a, 10, 403, 203) for a in ("none", "pad", "truncation_shift", "keyword_substitution")}
+    assert 403 < scored.value < 500
+
+
 def test_classifier_report_recomputed(spark, tables):
     """The report of the trained classifier from its stored predictions, recomputed pair by pair."""
     from mailgraph.operators import evaluation as V
