@@ -134,6 +134,18 @@ def test_language(spark, text, label):
     assert one(spark, language.coverage(F.lit(text))["language"])[0] == label
 
 
+def test_marks_equal_a_search_for_each_literal(spark):
+    every = rules.Marks(*EVERY_RULE)
+    assert len(every.literals) > every.BITS
+    df = spark.createDataFrame([("",), (None,), ("VERIFY \u0905\u092a\u0921\u0947\u091f",), ("x".join(every.literals[::2]),), (" ".join(every.literals),)], "t string")
+    t = F.col("t")
+    got = df.select(t, every.of(t).alias("m")).select(
+        F.array(*[F.contains(F.lower(t), F.lit(x)) for x in every.literals]).alias("a"), F.array(*[every.has(F.col("m"), x) for x in every.literals]).alias("b"))
+    assert all(r.a == r.b for r in got.collect())
+    one = df.select(rules.hits(t, EVERY_RULE).alias("a"), rules.bound(rules.view(t, every.of(t)), lambda seen: rules.hits_in(seen, EVERY_RULE, every)).alias("b"))
+    assert all(r.a == r.b for r in one.collect())
+
+
 def test_rules(spark):
     df = spark.createDataFrame([(1, "Please verify your account password"), (2, "kripya khata band hoga jaldi"), (3, "nothing here")], "id int, t string")
     found = {(r.id, r.title) for r in rules.scan(df, "t", (*rules.ENGLISH, *rules.LOCALISED), "id").collect()}
