@@ -5,6 +5,7 @@ import re
 import unicodedata
 from dataclasses import replace
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -134,6 +135,17 @@ def test_language(spark, text, label):
     assert one(spark, language.coverage(F.lit(text))["language"])[0] == label
 
 
+def test_normal_forms_hold_few_texts_at_a_time():
+    import tracemalloc
+    texts = pa.array([None, "", *[f"\uff21 {i} " + "\u0435x" * 1000 for i in range(2000)]])
+    tracemalloc.start()
+    got = T.normalised(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.to_pylist() == [None if x is None else unicodedata.normalize("NFKC", x) for x in texts.to_pylist()]
+    assert peak < 1 << 20 and T.normalised(texts.slice(0, 0)).to_pylist() == []
+
+
 def test_marks_equal_a_search_for_each_literal(spark):
     every = rules.Marks(*EVERY_RULE)
     assert len(every.literals) > every.BITS
