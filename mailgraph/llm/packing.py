@@ -109,13 +109,13 @@ class Encoder:
         if new.any():
             self._learn(found, distinct[new], where[new])
         slots = self.slots[np.searchsorted(self.keys, distinct)]
-        return _gather(self.ids, self.begins[slots], self.begins[slots + 1] - self.begins[slots])
+        return gather(self.ids, self.begins[slots], self.begins[slots + 1] - self.begins[slots])
 
     def encode_found(self, found: words.Words, unique: tuple[np.ndarray, ...] | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words, where each word's ids begin and the total); ``unique`` is what np.unique gives for the hashes, if known."""
         distinct, where, back = unique or np.unique(found.hash, return_index=True, return_inverse=True)
         flat, lengths = self.spell(found, distinct, where)
-        ids, own = _gather(flat, (np.cumsum(lengths) - lengths)[back], lengths[back])
+        ids, own = gather(flat, (np.cumsum(lengths) - lengths)[back], lengths[back])
         return ids, np.concatenate([[0], np.cumsum(own)]).astype(np.int64)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -125,7 +125,7 @@ class Encoder:
         return ids, ends[found.first()]
 
 
-def _gather(values: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def gather(values: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The runs of ``values`` that start at ``begins``, one after another, and their lengths."""
     ends = np.cumsum(lengths)
     total = int(ends[-1]) if len(ends) else 0
@@ -141,6 +141,12 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def forget_words() -> None:
+    """For a worker that goes on to stages that encode nothing."""
+    for coder in _ENCODERS.values():
+        coder.forget()
+
+
 def vocabulary_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
     return public_tokenizers.path(name)

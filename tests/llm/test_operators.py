@@ -343,6 +343,51 @@ def test_every_training_text_reaches_the_weights(spark):
         assert not np.array_equal(lm.fit(lm.blocks(one, "doc_id", "text", 1), classes), begin)
 
 
+def test_every_subword_has_a_probability_of_its_own():
+    rng = np.random.default_rng(3)
+    counts = np.where(np.arange(lm.VOCABULARY) < 3000, rng.integers(0, 50, lm.VOCABULARY), 0)
+    classes = lm.Classes(counts, counts, lm._word_ends())
+    w = attention.start(classes.shares)
+    w["inner"] = rng.standard_normal(w["inner"].shape).astype(np.float32)
+    scorer, inputs = attention.Scorer(w, classes.members), rng.integers(0, 3000, (1, attention.PLACES))
+    y = scorer.hidden(inputs)[0, 7]
+    scored = np.zeros(inputs.shape, dtype=bool)
+    scored[0, 7] = True
+    z = y @ w["out"] + w["bias"]
+    p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    total = 0.0
+    for c in range(attention.COARSE):
+        own = np.flatnonzero(classes.members.of == c)
+        rows = classes.members.row[own]
+        inner = w["inner"][rows] @ np.append(y, 1) + classes.members.prior[rows]
+        each = np.exp(inner - inner.max()) / np.exp(inner - inner.max()).sum() * p[c]
+        total += each.sum()
+        for i in own[:2]:
+            got = scorer.ids_log_probability(inputs, np.full(inputs.shape, i), scored)
+            assert math.isclose(got[0], math.log(each[own == i][0]), abs_tol=1e-3)
+    assert math.isclose(total, 1, abs_tol=1e-3)
+
+
+def test_training_tells_ids_of_one_class_apart():
+    counts = np.zeros(lm.VOCABULARY)
+    counts[100:140] = 10
+    classes = lm.Classes(counts, counts, np.zeros(lm.VOCABULARY, np.int64))
+    same = np.flatnonzero(classes.members.of == classes.members.of[100])
+    a, b = same[:2]
+    rng = np.random.default_rng(5)
+    inputs = rng.integers(100, 140, (4096, attention.PLACES))
+    inputs[:, ::2] = np.where(rng.random((4096, attention.PLACES // 2)) < 0.5, 120, 130)
+    targets = np.roll(inputs, -1, axis=1)
+    targets[:, ::2] = np.where(inputs[:, ::2] == 120, a, b)
+    w = attention.train(attention.start(classes.shares), classes.members, inputs, targets, np.ones(inputs.shape, dtype=bool))
+    places = np.zeros(inputs[:64].shape, dtype=bool)
+    places[:, ::2] = True
+    scorer = attention.Scorer(w, classes.members)
+    right = scorer.ids_log_probability(inputs[:64], targets[:64], places)
+    wrong = scorer.ids_log_probability(inputs[:64], np.where(targets[:64] == a, b, a), places)
+    assert right.mean() > wrong.mean() + 1
+
+
 def test_attention_beats_the_unigram_on_held_out_texts(spark):
     got = registry.queries()["op9_lm_scores"](spark, "/root/testdata/sf0.01").filter("held_out")
     base, model = got.agg(F.sum("base_score"), F.sum("score")).first()
