@@ -16,6 +16,7 @@ from mailgraph.operators import scoring as S
 from mailgraph.operators import similarity as M
 from mailgraph.operators import threads as TH
 from mailgraph.plans import campaigns, skew
+from mailgraph.sources.tables import Tables
 
 CREATED = "timestamp_seconds(created) AS created"
 
@@ -88,6 +89,25 @@ def test_words_are_counted_inside_their_message(spark):
     assert "Generate" not in terms._jdf.queryExecution().executedPlan().toString()
 
 
+def test_messages_meet_events_by_sorting(spark, tmp_path):
+    """No task holds a table of all ids; repeated and null ids, events and labels give the rows of a plain join."""
+    made = {"documents": ("doc_id long, text string, lang string, source string", [(1, "aa bb", "en", "s"), (1, "aa", "en", "s"), (2, None, "en", "s"), (None, "cc", "en", "s"), (4, "dd", "en", "s")]),
+            "events": ("event_id long, ts string, user_id long", [(1, "2024-01-01", 1), (1, "2024-01-02", 2), (2, "2024-01-01", None), (None, "2024-01-01", 3)]),
+            "labels": ("doc_id long, quality int, toxic int", [(1, 3, 0), (1, 4, 1), (None, 5, 1)])}
+    for name, (schema, rows) in made.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    t = Tables(spark, str(tmp_path))
+    for frame in (t.message, t.recipient):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    got = t.message.select("msg_id", "body", "sender", "quality").collect()
+    want = [(1, body, f"u{user}@s.example", quality) for body in ("aa bb", "aa") for user in (1, 2) for quality in (3, 4)] + [(2, None, None, None)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert sorted(r.msg_id for r in t.recipient.collect()) == [1, 1, 1, 1, 2]
+    words = M.term_counts(M.texts(t.message)).collect()
+    assert sorted(map(tuple, words)) == [(1, "aa", 16), (1, "bb", 8)]
+
+
 def test_salted_groups_lose_no_pair(spark):
     members = spark.createDataFrame([(i, "g") for i in range(60)], "rep long, gram string")
     sizes = members.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
