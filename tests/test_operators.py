@@ -4,6 +4,7 @@ import random
 from collections import Counter
 from types import SimpleNamespace
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,6 +82,41 @@ def test_pairs_are_summed_in_blocks_and_not_shuffled(spark, monkeypatch):
     assert {(r.src, r.dst) for r in twice} == want | {(299, 500), (19, 500)} and len(twice) == 16 * len(want) + 2 * 4
 
 
+def test_sketches_meet_only_blocks_of_like_size(spark, monkeypatch):
+    """Every pair of compatible sizes meets once, though a size of many rows is dealt to several blocks; rows are copied to few blocks."""
+    rng = random.Random(4)
+    sizes = [round(math.exp(rng.uniform(3, 9))) for _ in range(900)] + [777] * 100
+    rows = [(i, i % 10 == 9, int(M.blocks.size_step(n)), n, b"x") for i, n in enumerate(sizes)]
+    monkeypatch.setattr(M.blocks, "ROWS", 20)
+    met = spark.sparkContext.accumulator(0)
+
+    def run(xs, ys, same):
+        met.add(xs.num_rows + (0 if same else ys.num_rows))
+        a, b = xs.column("size").to_pylist(), ys.column("size").to_pylist()
+        found = [(i, j) for i in range(len(a)) for j in range(i + 1 if same else 0, len(b)) if min(a[i], b[j]) >= 0.75 * max(a[i], b[j])]
+        yield np.array([i for i, _ in found], int), np.array([j for _, j in found], int)
+
+    frame = spark.createDataFrame(rows, "rep long, is_sample boolean, step int, size long, sketch binary")
+    got = sorted(map(tuple, M.blocks.within_ratio(frame, 0.75, run).collect()))
+    assert got == [(i, j) for i, j in itertools.combinations(range(1000), 2) if (i % 10 == 9) == (j % 10 == 9) and min(sizes[i], sizes[j]) >= 0.75 * max(sizes[i], sizes[j])]
+    assert 1000 < met.value < 9000
+
+
+def test_near_duplicates_of_different_sketch_widths(spark):
+    """Sizes around a power of two, and far beyond the least sketch: folded sketches lose no pair, and unrelated texts are no candidates."""
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    texts = []
+    for n in (60, 500, 1020, 1040, 4200, 40000):
+        base = text(n)
+        texts += [base, base[:round(n * 0.8)], base + text(n // 4), base[:n // 2] + text(n // 30) + base[n // 2:], text(n), text(n)]
+    reps = spark.createDataFrame([(i, False, t) for i, t in enumerate(texts)], "rep long, is_sample boolean, text string")
+    want = brute_jaccard(dict(enumerate(texts)))
+    candidates = {(r.src, r.dst) for r in M.jaccard_candidates(M.shingle_sketches(reps)).collect()}
+    assert want <= candidates and len(candidates) < 1.3 * len(want)
+    assert {(r.src, r.dst) for r in M.jaccard_pairs(reps).collect()} == want and len(want) > 12
+
+
 def test_words_are_counted_inside_their_message(spark):
     """Rows that share an id are one message; a message without words has no row; nothing is exploded before it is counted."""
     rows = [(1, "aa bb aa http://x.y/zz cc9dd"), (2, "bb"), (1, "aa bb"), (3, "1 2 3"), (4, None)]
