@@ -15,17 +15,17 @@ def similarity_links(message: DataFrame) -> tuple[DataFrame, DataFrame, DataFram
     texts = similarity.texts(message)
     reps = similarity.representatives(texts)
     near = similarity.jaccard_pairs(reps)
-    near = lineage.cut(near)  # read three times below
     # only the strong tier groups messages
     hybrid = similarity.hybrid_pairs(texts, reps, near, similarity.COSINE_STRONG, similarity.SIMHASH_STRONG)
-    return similarity.members_of(texts, reps), near, lineage.cut(hybrid)
+    return lineage.cut(similarity.members_of(texts, reps)), near, hybrid  # members are read several times below, texts only once
 
 
 def strong_links(message: DataFrame, occurrence: DataFrame) -> DataFrame:
     """(src, dst) links strong enough to group messages, in linear size."""
     members, near, hybrid = similarity_links(message)
     pairs = near.select("src", "dst").unionByName(hybrid.filter("tier = 'strong'").select("src", "dst"))
-    shared = I.links(occurrence.filter(F.col("kind").isin(*I.STRONG))).select(
+    strong = lineage.cut(occurrence.filter(F.col("kind").isin(*I.STRONG)))
+    shared = I.links(strong).select(
         F.col("hub").alias("src"), F.col("msg_id").alias("dst"))
     return similarity.family_links(members, pairs).unionByName(shared)
 

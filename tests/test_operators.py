@@ -173,6 +173,28 @@ def test_cosine_join_equals_all_pairs(spark):
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_cosine_join_in_rounds_and_slices(spark, monkeypatch):
+    """Blocks of a few rows that meet in rounds, common words, sums of either kind, slices of words and of pairs: the same pairs and cosines; a repeated id keeps its weight."""
+    texts = random_texts(8, 70)
+    rows = [(i, f"h{i}", i % 4 == 3, t) for i, t in texts.items()]
+    frame = spark.createDataFrame(rows + rows[:2], "msg_id long, raw_hash string, is_sample boolean, text string").withColumn("text_key", F.sha2("text", 256))
+    reps = M.representatives(frame, min_chars=0)
+    found = lambda: {(r.src, r.dst): (round(r.cosine, 9), r.distance, r.tier) for r in M.hybrid_pairs(frame, reps).collect()}
+    want = found()
+    for module, name, value in ((M.blocks, "ROWS", 2), (M.blocks, "CELLS", 30), (M, "LEAST_COMMON", 3), (M, "WORDS", 25), (M, "PAIRS", 4)):
+        monkeypatch.setattr(module, name, value)
+    assert found() == want and len(want) > 10
+    frames = spark.createDataFrame([(i, i % 3 == 0, "x") for i in range(60)], "rep long, is_sample boolean, word string")
+    copies = spark.sparkContext.accumulator(0)
+
+    def run(xs, ys):
+        copies.add(xs.num_rows + ys.num_rows)
+        yield np.repeat(np.arange(xs.num_rows), ys.num_rows), np.tile(np.arange(ys.num_rows), xs.num_rows)
+
+    got = sorted(map(tuple, M.blocks.all_pairs(frames, F.lit(1), run).collect()))
+    assert got == [(i, j) for i, j in itertools.combinations(range(60), 2) if (i % 3 == 0) == (j % 3 == 0)] and copies.value <= 60 * 12
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(1000, 1040)]
